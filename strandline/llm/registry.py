@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import merge_encoding, packing, secrets, token_counts, urls
+from strandline.llm import jaccard_join, merge_encoding, packing, secrets, token_counts, urls
 from strandline.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), WORD_MODEL, end=2)
 
@@ -32,5 +36,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_secrets, op5_token_counts, op7_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_secrets, op5_token_counts, op7_sentencepiece, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
