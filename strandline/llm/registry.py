@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard_join, merge_encoding, packing, secrets, token_counts, urls
+from strandline.llm import jaccard_join, language_mixture, merge_encoding, packing, passage_quality, secrets, token_counts, urls
 from strandline.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -28,13 +28,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_mixture.learn(language_mixture.training_rows(docs))
+    return language_mixture.predict(spark, docs, model)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_encoding.digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return passage_quality.predict(spark, docs, passage_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_secrets, op5_token_counts, op7_sentencepiece, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_secrets, op5_token_counts, op6_language_id, op7_sentencepiece, op9_quality, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
