@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -25,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint on shared storage, which survives lost executors."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write a table to the shared folder, which survives lost executors, and read it.
+
+    Unlike a checkpoint it is compressed, is read by column and starts a new plan. The files stay until
+    the cluster clears that folder, as results may still be read from them."""
+    path = f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

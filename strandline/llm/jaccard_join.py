@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialise, row_blocks, utf8
@@ -35,7 +35,7 @@ from strandline.llm.shingles import mix, shingle_sets
 
 COUNTERS = 1 << 21
 SLICES = 64
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 1 << 21
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
@@ -165,9 +165,9 @@ def filtered(pairs: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent: i
 def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id that links lead to."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(spark, signatures(spark, docs, n, percent)).withColumn("rid", F.monotonically_increasing_id())
+    rows = materialise(spark, signatures(spark, docs, n, percent).withColumn("rid", F.monotonically_increasing_id()))
     narrow = rows.select("rid", "doc_id", "n", "digest")
-    # classes of equal sets; the checkpoint lets the joins with all rows split a class that is hot
+    # classes of equal sets; the written table lets the joins with all rows split a class that is hot
     classes = materialise(spark, narrow.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
     chosen = narrow.join(classes.select("rid"), "rid").select("rid", "doc_id", "digest")
     index = rows.select("rid", "p1").join(classes.select("rid"), "rid").select("rid", F.explode("p1").alias("shingle"))
@@ -209,3 +209,23 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, i
     of_digest = materialise(spark, named.join(names, "c").select("digest", "component_id"))
     out = narrow.join(of_digest, "digest", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component: that with its smallest doc_id.
+
+    Of rows that share this doc_id one stays. Rows with a null id all stay, as nothing names them."""
+    linked = link_documents(spark, docs, n, percent).where("doc_id is not null")
+    gone = materialise(spark, linked.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return _once(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id, the first by text; rows of other ids are not touched."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if again.isEmpty():
+        return docs
+    of_id = Window.partitionBy("doc_id").orderBy("text")
+    twice = docs.join(again, "doc_id", "left_semi").withColumn("_place", F.row_number().over(of_id)).where("_place = 1").drop("_place")
+    return docs.join(again, "doc_id", "left_anti").unionByName(twice.select(docs.columns))
