@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import financial, financial_sql
+from strandline.plans import financial, financial_sql, social, social_sql
 from strandline.sources.star import relation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +25,18 @@ def _financial(name: str) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: _financial(name) for name in financial.READS}
-SQL: dict[str, str] = dict(financial_sql.SQL)
+SOCIAL_SCHEMA = "pid int, a long, b long, first_name string, date long, days int, country_x string, country_y string, tag string, month int, year int, tag_class string"
+
+
+def _social(name: str) -> Query:
+    read, relations = social.READS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read({r: relation(spark, sf_dir, r) for r in relations}, spark.createDataFrame(social_sql.PARAMS, SOCIAL_SCHEMA))
+
+    run.__name__ = name
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _financial(name) for name in financial.READS} | {name: _social(name) for name in social.READS}
+SQL: dict[str, str] = financial_sql.SQL | social_sql.SQL
