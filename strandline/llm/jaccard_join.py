@@ -10,8 +10,12 @@ sizes allow the similarity; the rest is verified on whole sets.
 Documents with equal sets form a class, and one row stands for it. Links are sought in rounds. In a
 round each indexed shingle names one leader among its documents, and only pairs of a leader with a
 document of another component are made, so a group of n near copies makes n pairs, not n^2. The last
-step makes the pairs that are still undecided: those of one shingle in different components. What it
-leaves apart has been verified to be apart, so the components are those of all links.
+step decides the pairs that are still open: those of one shingle in different components. Shingles of up
+to ``SHORT`` open documents make their pairs. The documents of a longer list are dealt into tiles, and
+pairs of tiles are compared in one piece by profiles: a profile sums the hashes of a set's shingles in each
+of ``CELLS`` cells, so sets with d different cells have d or more different shingles, and pairs with more
+than the similarity allows are not even made. What the last step leaves apart has been shown to be apart,
+so the components are those of all links.
 
 Defined results: null text, empty text and text without words have an empty set, which is linked
 with nothing; repeated rows are in one class and each has its row; a null doc_id has a row, and a
@@ -37,6 +41,7 @@ COUNTERS = 1 << 21
 SLICES = 64
 ROUNDS = 1
 BLOCK = 1 << 21
+SHORT, TILE, CELLS = 8, 256, 256
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
@@ -87,7 +92,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, set size, digest of the set and its prefixes in the three orders; the last two as 32 bits of each hash,
+    """doc_id, set size, digest of the set and its profile and its prefixes in the three orders; the last two as 32 bits of each hash,
     which can only add candidates."""
     levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
 
@@ -100,6 +105,9 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                 flat = np.concatenate(sets)
                 first = ((level[_bucket(flat)].astype(np.uint64)) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
                 others = [mix(flat ^ SEEDS[2]), mix(flat + SEEDS[2])]
+                spread = mix(flat ^ SEEDS[0])
+                cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (spread >> np.uint64(56)).astype(np.int64)
+                profiles = np.bincount(cell, (spread & np.uint64(255)).astype(float), len(sets) * CELLS).astype(np.int64).astype(np.uint8).reshape(-1, CELLS)
                 p1, p2, p3, digests = [], [], [], []
                 stop = 0
                 for s, size in zip(sets, sizes):
@@ -111,9 +119,9 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                         out.append(np.partition(o[start:stop], p - 1)[:p] >> np.uint64(32) if p else s)
                 ends = np.cumsum([0, *map(len, p1)]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(u).view(i))) for x, u, i in ((p1, "u8", "i8"), (p2, "u4", "i4"), (p3, "u4", "i4"))]
-                yield pa.record_batch([keys.slice(at, len(sets)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "p1", "p2", "p3"])
+                yield pa.record_batch([keys.slice(at, len(sets)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in profiles], pa.binary()), *lists], ["doc_id", "n", "digest", "profile", "p1", "p2", "p3"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, profile binary, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,6 +141,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
+def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one shingle and different components c whose sizes and profiles allow the similarity.
+
+    ``lists`` has (shingle, rows, rid, c, n, profile). A list of ``rows`` documents has one task for each
+    pair of its tiles, so no task sees more than about two tiles, whatever the length of the list."""
+    tiles = F.ceil(F.col("rows") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("rid"), tiles).cast("int")
+    dealt = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "c", "n", "profile")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, rid, c, n = (group.column(x).to_numpy() for x in ("own", "rid", "c", "n"))
+        profile = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, CELLS)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for a in left:
+            b = right[(c[right] != c[a]) & (rid[right] > rid[a])] if i == j else right[c[right] != c[a]]
+            total = n[a] + n[b]
+            least = -(-percent * total // (100 + percent))
+            b, most = b[least <= np.minimum(n[a], n[b])], (total - 2 * least)[least <= np.minimum(n[a], n[b])]
+            b = b[(profile[b] != profile[a]).sum(1) <= most]
+            found.append(np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], 1))
+        both = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    return dealt.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -153,12 +190,10 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(hash_sets, "digest binary, set binary").join(wanted.select("rid", "digest"), "digest").select("rid", "set")
 
 
-def filtered(pairs: DataFrame, sizes: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and that share prefix shingles in the further orders."""
-    size_a, size_b = (sizes.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = pairs.join(size_a, "a").join(size_b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
+def filtered(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share prefix shingles in the further orders too."""
     of_a, of_b = (prefixes.select(F.col("rid").alias(x), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}")) for x in "ab")
-    both = near.join(of_a, "a").join(of_b, "b")
+    both = pairs.join(of_a, "a").join(of_b, "b")
     return both.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
 
 
@@ -174,7 +209,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, i
     shared = materialise(spark, index.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle"))
     postings = materialise(spark, index.join(shared, "shingle"))
     live = materialise(spark, postings.select("rid").distinct())
-    sizes = classes.select("rid", "n").join(live, "rid")
+    sizes = materialise(spark, classes.select("rid", "n").join(live, "rid"))
     prefixes = materialise(spark, rows.select("rid", "p2", "p3").join(live, "rid"))
 
     links = tried = None
@@ -187,16 +222,24 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, i
             undecided = labelled.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
             open_postings = materialise(spark, labelled.join(materialise(spark, undecided), "shingle"))
             postings = open_postings.select("shingle", "rid")
+        fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+        open_postings = open_postings.join(sizes, "rid")
         if k < rounds:
-            leader = open_postings.groupBy("shingle").agg(F.min_by(F.struct("rid", "c"), F.xxhash64("rid", F.lit(k))).alias("leader"))
-            pairs = open_postings.join(materialise(spark, leader), "shingle").where("c <> leader.c").select(F.least("rid", "leader.rid").alias("a"), F.greatest("rid", "leader.rid").alias("b"))
+            leader = open_postings.groupBy("shingle").agg(F.min_by(F.struct("rid", "c", "n"), F.xxhash64("rid", F.lit(k))).alias("leader"))
+            near = open_postings.join(materialise(spark, leader), "shingle").where("c <> leader.c").withColumn("m", F.col("leader.n")).where(fits)
+            pairs = near.select(F.least("rid", "leader.rid").alias("a"), F.greatest("rid", "leader.rid").alias("b"))
         else:
-            x, y = (open_postings.select("shingle", F.col("rid").alias(r), F.col("c").alias(f"c_{r}")) for r in "ab")
-            pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))).select("a", "b")
+            counts = materialise(spark, open_postings.groupBy("shingle").agg(F.count("*").alias("rows")))
+            counted = materialise(spark, open_postings.join(counts, "shingle"))
+            short = counted.where(F.col("rows") <= SHORT)
+            x, y = short.select("shingle", F.col("rid").alias("a"), F.col("c").alias("c_a"), "n"), short.select("shingle", F.col("rid").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("m"))
+            made = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & F.expr(fits)).select("a", "b")
+            profiles = rows.select("rid", "profile").join(live, "rid")
+            pairs = made.unionByName(tile_pairs(counted.where(F.col("rows") > SHORT).join(profiles, "rid"), percent))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(spark, filtered(materialise(spark, pairs), sizes, prefixes, percent))
+        pairs = materialise(spark, filtered(materialise(spark, pairs), prefixes))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         sets = candidate_sets(docs, materialise(spark, chosen.join(ends, "rid")), n)
         found = materialise(spark, verified(pairs, sets, percent))
