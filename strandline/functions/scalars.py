@@ -63,7 +63,7 @@ def latency_minutes(later: Column | str, earlier: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """A ``;``-separated list, trimmed, without empty entries and -1."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), F.trim), lambda x: (x != "") & (x != "-1"))
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "-1"))
 
 
 def split_pairs(c: Column | str) -> Column:

@@ -1 +1 @@
-""""""
+"""Plans over DataFrames: traversals, versioned reads, ingest."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import financial, financial_sql, social, social_sql
+from strandline.plans import financial, financial_sql, social, social_sql, storage
 from strandline.sources.star import relation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,5 +38,5 @@ def _social(name: str) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {name: _financial(name) for name in financial.READS} | {name: _social(name) for name in social.READS}
-SQL: dict[str, str] = financial_sql.SQL | social_sql.SQL
+QUERIES: dict[str, Query] = {name: _financial(name) for name in financial.READS} | {name: _social(name) for name in social.READS} | storage.Q
+SQL: dict[str, str] = financial_sql.SQL | social_sql.SQL | storage.SQL

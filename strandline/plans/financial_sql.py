@@ -17,7 +17,7 @@ PARAMS = [
 #: Pairs with direct payments, for the cycles.
 CYCLE_PARAMS = [(k, a, b, 0, 0, 788918400000, 1009843200000, lim, False) for k, (a, b, lim) in enumerate([(1, 17, 0), (5, 33, 0), (9, 4, 0), (3, 60, 0), (42, 7, 0), (2, 2, 0), (8, 5, 40)])]
 
-START = "s0 AS (SELECT pid, a AS v FROM params)"
+START = "s0 AS (SELECT pid, CAST(a AS BIGINT) AS v FROM params)"
 
 
 def _q(ctes: list[str], select: str, recursive: bool = False, params: list[tuple] = PARAMS) -> str:

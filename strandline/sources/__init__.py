@@ -1 +1 @@
-""""""
+"""Files, projections and shared tables."""

@@ -1 +1 @@
-""""""
+"""Replay of update streams."""
