@@ -35,12 +35,13 @@ def hop(frontier: DataFrame, edges: DataFrame, params: DataFrame | None = None,
 def bounded_bfs(start: DataFrame, edge_sets: list[DataFrame], params: DataFrame | None, depth: int, reverse: bool = False, at_least: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """All hops of ``depth`` levels and all vertices reached (with the start, at depth 0), as (pid, v, depth).
 
-    Each relation is truncated by itself. Only vertices not seen before are expanded."""
+    Each relation is truncated by itself. Only vertices not seen before are expanded. A level's hops are
+    written before the next level reads them, so each level scans the edges once."""
     frontier = start.select("pid", "v").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     hops: list[DataFrame] = []
     for level in range(1, depth + 1):
-        out = reduce(DataFrame.unionByName, [hop(frontier, e, params, reverse, at_least) for e in edge_sets])
+        out = materialise(reduce(DataFrame.unionByName, [hop(frontier, e, params, reverse, at_least) for e in edge_sets]))
         hops.append(out.withColumn("level", F.lit(level)))
         frontier = out.select("pid", F.col("other").alias("v")).distinct().join(seen, ["pid", "v"], "left_anti")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(level)))
@@ -100,10 +101,8 @@ def all_shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, most: int) -> DataFrame:
     """(v, upper, steps): every vertex with itself and all that up to ``most`` edges (src, dst) lead to."""
-    start = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
-    level = start.select("v", F.col("v").alias("upper"), F.lit(0).alias("steps"))
-    out = [level]
-    for step in range(1, most + 1):
-        level = level.join(edges.select(F.col("src").alias("upper"), F.col("dst").alias("next")), "upper").select("v", F.col("next").alias("upper"), F.lit(step).alias("steps"))
-        out.append(level)
-    return reduce(DataFrame.unionByName, out).groupBy("v", "upper").agg(F.min("steps").alias("steps"))
+    sql = """WITH RECURSIVE up(v, upper, steps) AS (
+  SELECT v, v, 0 FROM (SELECT src AS v FROM {edges} UNION SELECT dst FROM {edges})
+  UNION ALL SELECT up.v, e.dst, up.steps + 1 FROM up JOIN {edges} e ON e.src = up.upper WHERE up.steps < {most}
+) SELECT v, upper, min(steps) AS steps FROM up GROUP BY v, upper"""
+    return edges.sparkSession.sql(sql, edges=edges, most=most)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import is_blocked, ratio
 from strandline.operators.traverse import bounded_bfs, hop, shortest_distance
+from strandline.sources.shared import materialise
 
 Graph = dict[str, DataFrame]
 
@@ -71,7 +72,7 @@ def timed_reach(g: Graph, params: DataFrame) -> DataFrame:
     reached = []
     for _ in range(3):
         out = hop(state, g["transfer"], params).join(state, ["pid", "v"]).where("ts >= last")
-        state = out.groupBy("pid", F.col("other").alias("v")).agg(F.min("ts").alias("last"))
+        state = materialise(out.groupBy("pid", F.col("other").alias("v")).agg(F.min("ts").alias("last")))
         reached.append(state.select("pid", F.col("v").alias("account")))
     return reached[0].union(reached[1]).union(reached[2]).distinct()
 
@@ -105,7 +106,7 @@ def loan_flow(g: Graph, params: DataFrame) -> DataFrame:
     reached = None
     for _ in range(3):
         both = hop(frontier, g["transfer"], params).unionByName(hop(frontier, g["withdraw"], params))
-        big = both.join(with_limit.select("pid", "least"), "pid").where("amount >= least").select("pid", F.col("other").alias("v")).distinct()
+        big = materialise(both.join(with_limit.select("pid", "least"), "pid").where("amount >= least").select("pid", F.col("other").alias("v")).distinct())
         reached = big if reached is None else reached.union(big)
         frontier = big.join(seen, ["pid", "v"], "left_anti")
         seen = seen.union(frontier)
