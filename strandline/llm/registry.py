@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import binary_search, jaccard_join, language_mixture, learned_partitions, merge_encoding, packing, passage_quality, secrets, token_counts, urls
+from strandline.llm import binary_search, jaccard_join, language_mixture, learned_partitions, merge_encoding, oracle, packing, passage_quality, secrets, token_counts, urls
 from strandline.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,6 +57,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_secrets, op4_learned_partitions, op5_token_counts, op6_language_id, op7_sentencepiece, op8_binary_codes, op9_quality, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracle.JACCARD,
+    "op10_url_filter": oracle.URLS,
     "op8_binary_codes": """
 WITH usable AS (
   SELECT vec_id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN embedding] AS bits
