@@ -37,7 +37,7 @@ from strandline.llm.common import row_blocks, strings, utf8
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 32768
-MEMO = 300_000
+MEMO = 600_000
 
 # ---------------------------------------------------------------- ids
 
