@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
+from strandline.operators import ingest, traverse
 from strandline.operators import versions as V
 from strandline.operators.traverse import bounded_bfs, closure, hop, shortest_distance
 from strandline.plans import social
+from strandline.plans.advisor import Access, advise, gain
 from strandline.plans.financial_sql import COLUMNS, PARAMS, START
 from strandline.plans.social_sql import BASE as SOCIAL_BASE
 from strandline.plans import sql as text
 from strandline.plans.sql import fresh, query, values
-from strandline.plans.advisor import Access, advise, gain
 from strandline.sources.star import relation
+from strandline.streaming import replay
 
 SCHEMA = "pid int, a long, b long, amount1 long, amount2 long, t0 long, t1 long, lim int, latest_first boolean"
 
@@ -172,6 +174,24 @@ def put_node_newest(spark, sf_dir):
     return rows.groupBy("c_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("priority"), F.max("o_orderkey").alias("seq"))
 
 
+def _nodes(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"), F.lit(True).alias("is_out"), F.lit(0).cast("short").alias("edge_type"), F.col("o_orderkey").alias("seq"), F.lit(False).alias("deleted"), F.col("o_orderpriority").alias("N0"), F.col("o_orderstatus").alias("N1"))
+    return V.newest(rows).drop("deleted")
+
+
+@_register("SELECT o_custkey AS vid, o_orderpriority AS N0, o_orderstatus AS N1 FROM orders WHERE o_custkey < 50 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def get_node(spark, sf_dir):
+    return _nodes(spark, sf_dir).where("src < 50").select(F.col("src").alias("vid"), "N0", "N1")
+
+
+@_register("SELECT o_custkey AS vid, CASE WHEN o_orderkey % 3 = 0 THEN concat('new', o_orderkey) ELSE o_orderpriority END AS N0, o_orderstatus AS N1 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def update_node_overlay(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 = 0")
+    changes = orders.select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"), F.lit(True).alias("is_out"), F.lit(0).cast("short").alias("edge_type"), F.col("o_orderkey").alias("base_seq"), F.lit("N0").alias("property"), F.col("o_orderkey").alias("commit_seq"), F.concat(F.lit("new"), F.col("o_orderkey").cast("string")).alias("value"))
+    return V.overlay(nodes, changes, ["N0", "N1"]).select(F.col("src").alias("vid"), "N0", "N1")
+
+
 @_register("SELECT c_custkey, c_name[:10] AS name FROM customer")
 def fixed_width_truncate(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", S.fixed_width("c_name", 10).alias("name"))
@@ -236,6 +256,15 @@ def interaction_weight(spark, sf_dir):
     return social.interaction_weights(_social(spark, sf_dir, "post", "comment"))
 
 
+@_register(query("params(pid, a, b) AS (VALUES (1, 10, 77), (2, 21, 98), (3, 5, 5))", [
+    SOCIAL_BASE["reach"], SOCIAL_BASE["nearest"],
+    "paths(pid, v, d, path) AS (SELECT pid, a, 0, [a::BIGINT] FROM params UNION SELECT r.pid, k.dst, r.d + 1, list_append(r.path, k.dst) FROM paths r JOIN knows k ON k.src = r.v JOIN params p ON p.pid = r.pid JOIN nearest n ON n.pid = r.pid AND n.v = k.dst AND n.depth = r.d + 1 JOIN nearest e ON e.pid = r.pid AND e.v = p.b AND r.d < e.depth)",
+], "SELECT p.pid, array_to_string(path, ';') AS path FROM paths p JOIN params q ON q.pid = p.pid AND q.b = p.v", recursive=True))
+def all_shortest_paths(spark, sf_dir):
+    pairs = spark.createDataFrame([(1, 10, 77), (2, 21, 98), (3, 5, 5)], "pid int, a long, b long")
+    return traverse.all_shortest_paths(pairs, relation(spark, sf_dir, "knows")).select("pid", F.array_join(F.col("path").cast("array<string>"), ";").alias("path"))
+
+
 @_register(query("params(pid, a) AS (VALUES (1, 10), (2, 21))", [SOCIAL_BASE["friends"], SOCIAL_BASE["foaf"]], "SELECT pid, friend FROM foaf"))
 def friends_and_foaf(spark, sf_dir):
     return social.friends_and_foaf(_social(spark, sf_dir, "knows"), spark.createDataFrame([(1, 10), (2, 21)], "pid int, a long"))
@@ -287,67 +316,51 @@ def pipe_slots(spark, sf_dir):
 @_register("""SELECT 'order_customer' AS relation, count(*) AS edges FROM orders UNION ALL SELECT 'customer_nation', count(*) FROM customer
 UNION ALL SELECT 'nation_region', count(*) FROM nation""")
 def implicit_edges(spark, sf_dir):
-    from strandline.operators.ingest import implicit_edges as derive
-
     rules = {"order_customer": ("orders", "o_orderkey", "o_custkey"), "customer_nation": ("customer", "c_custkey", "c_nationkey"), "nation_region": ("nation", "n_nationkey", "n_regionkey")}
-    return derive({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t, _, _ in rules.values()}, rules).groupBy("relation").agg(F.count("*").alias("edges"))
+    return ingest.implicit_edges({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t, _, _ in rules.values()}, rules).groupBy("relation").agg(F.count("*").alias("edges"))
 
 
 @_register("SELECT DISTINCT l_orderkey AS vid FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def incremental_stub_nodes(spark, sf_dir):
-    from strandline.operators.ingest import stub_nodes
-
     known = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("vid"))
-    return stub_nodes(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("vid")), known)
+    return ingest.stub_nodes(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("vid")), known)
 
 
 @_register("SELECT count(*) FILTER (WHERE o_orderkey IS NULL) AS skipped, count(o_orderkey) AS kept FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = l_orderkey")
 def skipped_edges_count(spark, sf_dir):
-    from strandline.operators.ingest import skipped_edges
-
     known = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("vid"))
-    return skipped_edges(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("src")), known, "src")
+    return ingest.skipped_edges(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("src")), known, "src")
 
 
 @_register("SELECT source, row_index, ms, CAST(row_number() OVER (ORDER BY ms, source, row_index) AS INTEGER) AS place FROM (SELECT 'events' AS source, event_id AS row_index, epoch_us(ts) // 1000 - 820454400000 AS ms FROM events WHERE event_id < 500 UNION ALL SELECT 'orders', o_orderkey, epoch_us(o_orderdate) // 1000 FROM orders WHERE o_orderkey < 500)")
 def update_stream_merge(spark, sf_dir):
-    from strandline.operators.ingest import merged_stream
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500").select(F.col("event_id").alias("row_index"), (F.unix_millis(F.col("ts").cast("timestamp")) - 820454400000).alias("ms"))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500").select(F.col("o_orderkey").alias("row_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
-    return merged_stream({"events": e, "orders": o})
+    return ingest.merged_stream({"events": e, "orders": o})
 
 
 @_register("SELECT event_id % 20 = 3 AS sampled, count(*) AS rows FROM events GROUP BY 1")
 def workload_sample(spark, sf_dir):
-    from strandline.operators.ingest import sampled
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    both = sampled(e, "event_id", 20, 3).select(F.lit(True).alias("sampled")).unionByName(sampled(e, "event_id", 20, 3, rest=True).select(F.lit(False).alias("sampled")))
+    both = ingest.sampled(e, "event_id", 20, 3).select(F.lit(True).alias("sampled")).unionByName(ingest.sampled(e, "event_id", 20, 3, rest=True).select(F.lit(False).alias("sampled")))
     return both.groupBy("sampled").agg(F.count("*").alias("rows"))
 
 
 @_register(_sql("SELECT CAST(e.event_id % 20 AS BIGINT) AS src, count(*) AS reads, count(x.seq) AS found, count(*) - count(x.seq) AS missed FROM events e LEFT JOIN (SELECT src, dst, max(seq) AS seq FROM g0 GROUP BY 1, 2) x ON x.src = e.event_id % 20 AND x.dst = e.user_id GROUP BY 1", "versions", "g0"))
 def single_edge_reads(spark, sf_dir):
-    from strandline.operators.ingest import point_reads
-
     asked = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 20).alias("src"), F.col("user_id").alias("dst"))
-    return point_reads(asked, _groups(spark, sf_dir)["g0"]).groupBy("src").agg(F.count("*").alias("reads"), F.count("seq").alias("found"), F.count_if(F.col("seq").isNull()).alias("missed"))
+    return ingest.point_reads(asked, _groups(spark, sf_dir)["g0"]).groupBy("src").agg(F.count("*").alias("reads"), F.count("seq").alias("found"), F.count_if(F.col("seq").isNull()).alias("missed"))
 
 
 @_register("SELECT CAST(done AS BIGINT) AS done, q AS query, CAST(floor(done * n / 1000) AS BIGINT) AS due FROM range(0, 1001, 100) t(done), (VALUES ('fq01', 9994), ('fq06', 878), ('fq12', 2753)) w(q, n)")
 def mixed_due_tasks(spark, sf_dir):
-    from strandline.streaming.replay import due_tasks
-
     plan = spark.createDataFrame([("fq01", 9994), ("fq06", 878), ("fq12", 2753)], "query string, n long")
-    return due_tasks(spark.range(0, 1001, 100).select(F.col("id").alias("done")), plan, 1000)
+    return replay.due_tasks(spark.range(0, 1001, 100).select(F.col("id").alias("done")), plan, 1000)
 
 
 @_register("SELECT event_type, avg(ms) AS mean, quantile_cont(ms, 0.9) AS p90, quantile_cont(ms, 0.95) AS p95, quantile_cont(ms, 0.99) AS p99, max(ms) AS most FROM (SELECT event_type, CAST(event_id % 1000 AS DOUBLE) AS ms FROM events) GROUP BY event_type")
 def write_latency_percentiles(spark, sf_dir):
-    from strandline.operators.ingest import latency_summary
-
-    return latency_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("event_id") % 1000).cast("double").alias("ms")), "ms", "event_type")
+    return ingest.latency_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("event_id") % 1000).cast("double").alias("ms")), "ms", "event_type")
 
 
 READS = [Access(frozenset(p), f) for p, f in (("ab", 900), ("bc", 40), ("d", 500), ("cd", 20))]
