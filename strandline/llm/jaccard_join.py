@@ -41,7 +41,7 @@ COUNTERS = 1 << 21
 SLICES = 64
 ROUNDS = 1
 BLOCK = 1 << 21
-SHORT, TILE, CELLS = 8, 256, 256
+SHORT, TILE, CELLS = 8, 1024, 256
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
@@ -161,8 +161,8 @@ def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
             b = right[(c[right] != c[a]) & (rid[right] > rid[a])] if i == j else right[c[right] != c[a]]
             total = n[a] + n[b]
             least = -(-percent * total // (100 + percent))
-            b, most = b[least <= np.minimum(n[a], n[b])], (total - 2 * least)[least <= np.minimum(n[a], n[b])]
-            b = b[(profile[b] != profile[a]).sum(1) <= most]
+            b, total = b[least <= np.minimum(n[a], n[b])], total[least <= np.minimum(n[a], n[b])]
+            b = b[(profile[b] != profile[a]).sum(1) <= most_different(total, percent)]
             found.append(np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], 1))
         both = np.concatenate([np.zeros((0, 2), np.int64), *found])
         return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
@@ -190,11 +190,24 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(hash_sets, "digest binary, set binary").join(wanted.select("rid", "digest"), "digest").select("rid", "set")
 
 
-def filtered(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share prefix shingles in the further orders too."""
-    of_a, of_b = (prefixes.select(F.col("rid").alias(x), F.col("p2").alias(f"p2_{x}"), F.col("p3").alias(f"p3_{x}")) for x in "ab")
-    both = pairs.join(of_a, "a").join(of_b, "b")
-    return both.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
+def most_different(total: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles two sets of ``total`` shingles may not share at the similarity."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+def filtered(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share prefix shingles in the further orders too and whose profiles allow the similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(f"profile_{c}").to_pylist()), np.uint8).reshape(-1, CELLS) for c in "ab")
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = (x != y).sum(1) <= most_different(total, percent)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    of_a, of_b = (prefixes.select(F.col("rid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "profile", "p2", "p3"))) for x in "ab")
+    both = pairs.join(of_a, "a").join(of_b, "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+    return both.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(compare, "a long, b long")
 
 
 def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -210,7 +223,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, i
     postings = materialise(spark, index.join(shared, "shingle"))
     live = materialise(spark, postings.select("rid").distinct())
     sizes = materialise(spark, classes.select("rid", "n").join(live, "rid"))
-    prefixes = materialise(spark, rows.select("rid", "p2", "p3").join(live, "rid"))
+    prefixes = materialise(spark, rows.select("rid", "n", "profile", "p2", "p3").join(live, "rid"))
 
     links = tried = None
     for k in range(rounds + 1):
@@ -234,12 +247,11 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, i
             short = counted.where(F.col("rows") <= SHORT)
             x, y = short.select("shingle", F.col("rid").alias("a"), F.col("c").alias("c_a"), "n"), short.select("shingle", F.col("rid").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("m"))
             made = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & F.expr(fits)).select("a", "b")
-            profiles = rows.select("rid", "profile").join(live, "rid")
-            pairs = made.unionByName(tile_pairs(counted.where(F.col("rows") > SHORT).join(profiles, "rid"), percent))
+            pairs = made.unionByName(tile_pairs(counted.where(F.col("rows") > SHORT).join(prefixes.select("rid", "profile"), "rid"), percent))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(spark, filtered(materialise(spark, pairs), prefixes))
+        pairs = materialise(spark, filtered(materialise(spark, pairs), prefixes, percent))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         sets = candidate_sets(docs, materialise(spark, chosen.join(ends, "rid")), n)
         found = materialise(spark, verified(pairs, sets, percent))
