@@ -40,6 +40,7 @@ from strandline.llm.shingles import mix, shingle_sets
 COUNTERS = 1 << 21
 SLICES = 64
 ROUNDS = 1
+BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 21
 SHORT, TILE, CELLS = 8, 1024, 256
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
@@ -125,7 +126,7 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity."""
+    """The pairs (a, b) whose whole sets have the similarity; up to ``BROADCAST_ROWS`` pairs go to the sets, not the sets to them."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +139,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = sets.select(F.col("rid").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rid").alias("b"), F.col("set").alias("set_b"))
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
@@ -170,15 +172,14 @@ def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-BROADCAST_ROWS = 1_000_000
-
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(rid, set) for ``wanted`` (rid, doc_id, digest): their texts are read again and told apart by digest.
 
     The wanted ids are broadcast while they are at most ``BROADCAST_ROWS``, else joined by a shuffle."""
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
+    small = wanted.count() <= BROADCAST_ROWS
+    ids, keys = wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), wanted.select("rid", "digest")
+    ids, keys = (F.broadcast(ids), F.broadcast(keys)) if small else (ids, keys)
     found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 raw = [s.tobytes() for s in sets]
                 yield pa.record_batch([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
-    return found.mapInArrow(hash_sets, "digest binary, set binary").join(wanted.select("rid", "digest"), "digest").select("rid", "set")
+    return found.mapInArrow(hash_sets, "digest binary, set binary").join(keys, "digest").select("rid", "set")
 
 
 def most_different(total: np.ndarray, percent: int) -> np.ndarray:
