@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.versions import EDGE
+from strandline.sources.shared import numbered
 
 #: The record kinds of update lines and their fields, in order.
 UPDATE_FIELDS = {"N": ["vid", "property", "value"], "E": ["src", "dst", "edge_type", "is_out", "property", "value"]}
@@ -38,12 +39,11 @@ def known_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merged_stream(sources: dict[str, DataFrame]) -> DataFrame:
-    """Rows (row_index, ms) of all sources in the order of time, then source, then row, with their place.
+    """Rows (row_index, ms) of all sources in the order of time, then source, then row, with their place from 1.
 
-    The place is a position in one sequence, so that last step is a single sorted run; the replay itself
-    reads the rows range-partitioned by time and needs no place."""
+    Rows are range-partitioned and sorted by this order; only a count per partition meets in one task."""
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("source"), "row_index", "ms") for name, df in sources.items()])
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("ms", "source", "row_index")))
+    return numbered(rows.orderBy("ms", "source", "row_index"), 1, "place")
 
 
 def sampled(df: DataFrame, index: str, mod: int, rem: int, rest: bool = False) -> DataFrame:

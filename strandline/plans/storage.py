@@ -334,9 +334,9 @@ def skipped_edges_count(spark, sf_dir):
 
 @_register("SELECT source, row_index, ms, CAST(row_number() OVER (ORDER BY ms, source, row_index) AS INTEGER) AS place FROM (SELECT 'events' AS source, event_id AS row_index, epoch_us(ts) // 1000 - 820454400000 AS ms FROM events WHERE event_id < 500 UNION ALL SELECT 'orders', o_orderkey, epoch_us(o_orderdate) // 1000 FROM orders WHERE o_orderkey < 500)")
 def update_stream_merge(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500").select(F.col("event_id").alias("row_index"), (F.unix_millis(F.col("ts").cast("timestamp")) - 820454400000).alias("ms"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 500").select(F.col("o_orderkey").alias("row_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
-    return ingest.merged_stream({"events": e, "orders": o})
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("row_index"), (F.unix_millis(F.col("ts").cast("timestamp")) - 820454400000).alias("ms"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
+    return ingest.merged_stream({"events": e, "orders": o}).withColumn("place", F.col("place").cast("int"))
 
 
 @_register("SELECT event_id % 20 = 3 AS sampled, count(*) AS rows FROM events GROUP BY 1")

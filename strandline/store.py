@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -17,7 +17,7 @@ from strandline.functions.scalars import fixed_width
 from strandline.model import GraphError, GraphSchema, Status, load_schema
 from strandline.operators import versions
 from strandline.operators.versions import EDGE
-from strandline.sources.shared import materialise
+from strandline.sources.shared import materialise, numbered
 
 UPDATES = "kind string, grp string, property string, src long, dst long, is_out boolean, edge_type short, base_seq long, commit_seq long, value string"
 EPOCHS = "table string, epoch long"
@@ -79,13 +79,7 @@ class Graph:
         self._append(self.spark.createDataFrame([(seq,)], "seq long"), "observed")
 
     def numbered(self, df: DataFrame, first: int, name: str = "seq") -> DataFrame:
-        """Consecutive numbers in the order of partitions: rows are written once, then only a count per partition meets."""
-        kept = materialise(df.withColumn("_m", F.monotonically_increasing_id()))
-        counts = kept.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
-        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        out = kept.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p")
-        return out.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(first)).drop("_m", "_p", "_before", "_n")
+        return numbered(df, first, name)
 
     def new_vertices(self, n: int) -> DataFrame:
         """The next ``n`` dense ids."""
