@@ -181,7 +181,7 @@ def _nodes(spark, sf_dir):
 
 @_register("SELECT o_custkey AS vid, o_orderpriority AS N0, o_orderstatus AS N1 FROM orders WHERE o_custkey < 50 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def get_node(spark, sf_dir):
-    return _nodes(spark, sf_dir).where("src < 50").select(F.col("src").alias("vid"), "N0", "N1")
+    return _nodes(spark, sf_dir).select(F.col("src").alias("vid"), "N0", "N1")
 
 
 @_register("SELECT o_custkey AS vid, CASE WHEN o_orderkey % 3 = 0 THEN concat('new', o_orderkey) ELSE o_orderpriority END AS N0, o_orderstatus AS N1 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")

@@ -38,3 +38,7 @@ def test_places_are_consecutive_over_many_partitions(spark):
     got = [(r["ms"], r["source"], r["row_index"]) for r in merged.orderBy("place").collect()]
     assert got == sorted(got) and len(got) == 4000
     assert merged.selectExpr("min(place)", "max(place)", "count(DISTINCT place)").first() == (1, 4000, 4000)
+
+
+def test_get_node_gives_every_node(spark, duck):
+    same(spark, duck, "get_node", catalogue.SQL["get_node"].replace(" WHERE o_custkey < 50", ""))
