@@ -1,7 +1,8 @@
 """A financial and a social graph projected from the star-schema tables, one SQL text per relation.
 
 The texts serve both engines, so that a query and its SQL counterpart start from equal rows; what is
-compared is what the operators make of them. ``MS(x)`` is milliseconds since 1970 and ``IDIV(a, b)``
+compared is what the operators make of them. Where a text keeps only a part of its rows, Spark reads
+the relation in ``WHOLE`` instead, and the SQL counterpart sees less. ``MS(x)`` is milliseconds since 1970 and ``IDIV(a, b)``
 whole division. Sign-ins are moved by 26 years into the time range of the transfers.
 """
 
@@ -64,6 +65,11 @@ SOCIAL = {
     "study_at": "SELECT c_custkey AS person, c_custkey % 5 * 2 + 1 AS organisation, CAST(1980 + c_custkey % 30 AS INTEGER) AS class_year FROM customer",
 }
 RELATIONS = FINANCIAL | SOCIAL
+#: Whole relations, for Spark, of those whose text drops rows by a remainder of an id.
+WHOLE = {
+    "guarantee": RELATIONS["guarantee"].replace(" AND l_orderkey % 10 = 0", ""),
+    "apply": RELATIONS["apply"].replace(" AND o_orderkey % 5 = 0", ""),
+}
 
 
 def _dialect(sql: str, engine: str) -> str:
@@ -72,7 +78,7 @@ def _dialect(sql: str, engine: str) -> str:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = _dialect(RELATIONS[name], "spark")
+    sql = _dialect(WHOLE.get(name, RELATIONS[name]), "spark")
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
@@ -83,3 +89,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def relation_sql(name: str) -> str:
     """The relation as a common table expression for DuckDB."""
     return f"{name} AS ({_dialect(RELATIONS[name], 'duckdb')})"
+
+
+def whole_sql(name: str) -> str:
+    """The same of the relation that Spark reads."""
+    return f"{name} AS ({_dialect(WHOLE.get(name, RELATIONS[name]), 'duckdb')})"

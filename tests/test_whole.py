@@ -1,11 +1,11 @@
-"""Queries over whole tables against their SQL in DuckDB, with the id subsets taken out of the SQL here."""
+"""Queries over whole tables against their SQL in DuckDB, with id subsets and thinned relations taken out of the SQL here."""
 
 import duckdb
 import pytest
 
 from strandline.operators import ingest
 from strandline.plans import catalogue
-from strandline.sources.star import TABLES
+from strandline.sources.star import TABLES, WHOLE, relation_sql, whole_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,17 @@ def test_places_are_consecutive_over_many_partitions(spark):
 
 def test_get_node_gives_every_node(spark, duck):
     same(spark, duck, "get_node", catalogue.SQL["get_node"].replace(" WHERE o_custkey < 50", ""))
+
+
+def of_whole(name):
+    """The SQL with the relations that Spark reads."""
+    sql = catalogue.SQL[name]
+    for r in WHOLE:
+        sql = sql.replace(relation_sql(r), whole_sql(r))
+    return sql
+
+
+@pytest.mark.parametrize("name", ["fq11", "shortest_path"])
+def test_guarantees_and_loans_are_whole(spark, duck, name):
+    assert of_whole(name) != catalogue.SQL[name]
+    same(spark, duck, name, of_whole(name))
