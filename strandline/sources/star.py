@@ -65,10 +65,15 @@ SOCIAL = {
     "study_at": "SELECT c_custkey AS person, c_custkey % 5 * 2 + 1 AS organisation, CAST(1980 + c_custkey % 30 AS INTEGER) AS class_year FROM customer",
 }
 RELATIONS = FINANCIAL | SOCIAL
-#: Whole relations, for Spark, of those whose text drops rows by a remainder of an id.
+#: Whole relations, for Spark, of those whose text drops rows by a remainder of an id or folds persons into 150.
 WHOLE = {
     "guarantee": RELATIONS["guarantee"].replace(" AND l_orderkey % 10 = 0", ""),
     "apply": RELATIONS["apply"].replace(" AND o_orderkey % 5 = 0", ""),
+    "knows": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey",
+    "post": RELATIONS["post"].replace("o_custkey % 150 AS creator", "o_custkey AS creator"),
+    "comment": RELATIONS["comment"].replace("user_id % 150 AS creator", "user_id AS creator"),
+    "member": RELATIONS["member"].replace("user_id % 150", "user_id"),
+    "likes": RELATIONS["likes"].replace("% 150 ", "% persons ").replace("% 150,", "% persons,").replace("FROM events", "FROM events CROSS JOIN (SELECT count(*) AS persons FROM customer) c"),
 }
 
 

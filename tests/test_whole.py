@@ -5,7 +5,7 @@ import pytest
 
 from strandline.operators import ingest
 from strandline.plans import catalogue
-from strandline.sources.star import TABLES, WHOLE, relation_sql, whole_sql
+from strandline.sources.star import TABLES, WHOLE, relation, relation_sql, whole_sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +56,19 @@ def of_whole(name):
 def test_guarantees_and_loans_are_whole(spark, duck, name):
     assert of_whole(name) != catalogue.SQL[name]
     same(spark, duck, name, of_whole(name))
+
+
+SOCIAL_READS = [*(f"sq{k:02}" for k in range(1, 15)), "friends_and_foaf", "all_shortest_paths", "interaction_weight"]
+
+
+@pytest.mark.parametrize("name", SOCIAL_READS)
+def test_social_reads_see_all_persons(spark, duck, name):
+    assert of_whole(name) != catalogue.SQL[name]
+    same(spark, duck, name, of_whole(name))
+
+
+def test_knows_has_every_pair(spark, duck):
+    orders, lines = (duck.execute(f"SELECT * FROM {t}").fetchall() for t in ("(SELECT o_orderkey, o_custkey FROM orders)", "(SELECT l_orderkey, l_suppkey FROM lineitem)"))
+    of = dict(orders)
+    want = {(of[o], s) for o, s in lines if o in of and of[o] != s}
+    assert {(r["src"], r["dst"]) for r in relation(spark, SF, "knows").collect()} == want
