@@ -6,8 +6,8 @@ tanh(V h) * sigmoid(U h) gives each passage an attention weight (a softmax over
 the weighted sum of the h is scored by a logistic output. Only document labels are used.
 
 The model is fitted on the driver, on at most about ``SAMPLE`` labelled documents (chosen by a hash
-of their id, so by no property of the text) and ``SAMPLE_PASSAGES`` evenly spaced passages of each;
-only encoded passages are collected. Scoring takes every passage of every row, in a map over rows.
+of their id, so by no property of the text) and all passages of each; where these are more than
+``SAMPLE_PASSAGES``, on fewer documents. Only encoded passages are collected. Scoring takes every passage of every row, in a map over rows.
 
 Defined results: null and empty text are one empty passage and have its score; without labelled rows
 or with one label only, the score is the share of label 1 (0.5 without any); repeated rows and null
@@ -29,7 +29,7 @@ from strandline.llm.shingles import word_hashes, words
 
 PASSAGE = 512
 SAMPLE = 4000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 256_000
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 300, 0.02, 1e-4
 BLOCK = 1 << 20
@@ -137,21 +137,25 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the labelled rows that are not held out, about ``sample`` of them at most."""
+    """Fit on the labelled rows that are not held out, about ``sample`` of them at most, and on whole texts.
+
+    Rows are taken in the order of a hash of their id until ``SAMPLE_PASSAGES`` passages are reached, one id at least."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     parts = max(1, -(-labels.count() // sample))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).dropDuplicates(["doc_id"])  # of bounded size
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    sizes = bags.groupBy(F.xxhash64("doc_id").alias("h")).agg(F.sum(passages).alias("n")).orderBy("h").collect()
+    taken = max(1, int(np.searchsorted(np.cumsum([int(r["n"]) for r in sizes]), SAMPLE_PASSAGES, "right")))
+    if taken < len(sizes):
+        bags = bags.where(F.xxhash64("doc_id") <= sizes[taken - 1]["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             x, first = encode(raw, offsets)
-            bags = []
-            for a, b in zip(first, first[1:]):
-                at = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))
-                bags.append(x[at].tobytes())
+            bags = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = sorted(bags.mapInArrow(run, "doc_id long, y double, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
