@@ -197,7 +197,14 @@ BASE_RULES = [
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),  # runs are maximal, so a shorter one holds no match
 ]
 MORE_RULES = [
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # up to the END line; where that is missing, with header lines and base64 lines, of which only the last may be short
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+        r"|(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z][A-Za-z-]*:[ ][^\r\n\\]*)*+"
+        r"(?:(?:[ \t]*(?:\r?\n|\\n))++[ \t]*[A-Za-z0-9+/]{16,}+=*+(?=[ \t]*(?:[\r\n\\\"']|\Z)))++"
+        r"(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]++=*+(?=[ \t]*(?:[\r\n\\\"']|\Z)))?|)",
+    ),
     Rule("github", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]

@@ -2,7 +2,7 @@
 
 import zlib
 
-from strandline.llm import passage_quality
+from strandline.llm import passage_quality, secrets
 
 
 def test_quality_is_fitted_on_all_passages(spark, monkeypatch):
@@ -18,3 +18,22 @@ def test_quality_is_fitted_on_all_passages(spark, monkeypatch):
         monkeypatch.setattr(passage_quality, "SAMPLE_PASSAGES", most)
         passage_quality.learn(docs, labels)
         assert set(seen[-1]) <= {3, 200} and 0 < len(seen[-1]) < 6
+
+
+def test_private_keys_go_with_their_body(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 5 + ["Zm9vYg=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233\n\n"
+    texts = {
+        f"see {begin}\n{body}\n{end}\nthen go": "see [private_key]\nthen go",
+        f"see {begin}\r\n{head}{body}\n{end} end": "see [private_key] end",
+        f"see {begin}\n{head}{body}\nand so on": "see [private_key]\nand so on",
+        f"see {begin}\n{body}": "see [private_key]",
+        f"a {begin}\n{body}\n{end}\nb {begin}\n{body}\n{end}\nc": "a [private_key]\nb [private_key]\nc",
+        f"a {begin}\n{body}\n\nno end {begin}\n{body}\n{end}": "a [private_key]\n\nno end [private_key]",
+        f"key = '{begin}\\n{body[:64]}\\n{end}'": "key = '[private_key]'",
+        f"the line {begin}\nopens a key, and\nprose follows": "the line [private_key]\nopens a key, and\nprose follows",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
