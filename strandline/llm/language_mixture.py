@@ -29,7 +29,6 @@ from strandline.llm.common import is_held_out, row_blocks, strings, utf8
 
 BITS = 15
 STEPS, REFITS = 8, 4
-MOST = 4  # languages in a mixture
 PENALTY = 1.0
 SMOOTHING = 0.5
 BLOCK = 1 << 20
@@ -129,7 +128,7 @@ def mixtures(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     share, _ = _fit(likely, start, of, first, STEPS)
     rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
     best, chosen = np.full(len(full), -np.inf), share
-    for k in range(1, min(MOST, len(model.languages)) + 1):
+    for k in range(1, len(model.languages) + 1):
         part = np.where(rank < k, np.maximum(share, 1e-12), 0)
         part, fit = _fit(likely, part / part.sum(1, keepdims=True), of, first, REFITS if k > 1 else 0)
         score = fit - PENALTY * k * np.log(n + 1)

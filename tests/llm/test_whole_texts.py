@@ -2,7 +2,7 @@
 
 import zlib
 
-from strandline.llm import passage_quality, secrets
+from strandline.llm import language_mixture, passage_quality, secrets
 
 
 def test_quality_is_fitted_on_all_passages(spark, monkeypatch):
@@ -37,3 +37,12 @@ def test_private_keys_go_with_their_body(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secrets.redact_documents(docs).collect()}
     assert [got[k] for k in range(len(texts))] == list(texts.values())
+
+
+def test_mixture_of_more_than_four_languages(spark):
+    words = {f"l{k}": " ".join(a + b + a for a in s for b in s) for k, s in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}
+    model = language_mixture.learn(spark.createDataFrame([(t, lang) for lang, t in words.items()], "text string, lang string"))
+    texts = [" ".join(words[f"l{k}"] for k in range(n)) for n in (1, 3, 5, 6)]
+    rows = language_mixture.predict(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    got = {r["doc_id"]: (len(r["mixture"]), round(r["score"], 2)) for r in rows}
+    assert got == {0: (1, 1.0), 1: (3, 0.33), 2: (5, 0.2), 3: (6, 0.17)}
