@@ -10,22 +10,58 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs on one machine (tests), a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="strandline-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it: a new plan that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
+def _written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it: a new plan that survives lost executors.
+
+    Unlike a checkpoint it is compressed and read by column. The files stay until the cluster clears
+    that folder, as results may still be read from them."""
+    spark = df.sparkSession
+    return _written(spark, df, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Written tables of one computation; each can be deleted once its last reader has been written itself."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex[:8]}"
+        self.tables.append((out := _written(self.spark, df, path), path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._delete(lambda df: any(df is t for t in tables))
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        self._delete(lambda df: not any(df is t for t in tables))
+
+    def _delete(self, chosen) -> None:
+        files = self.spark._jvm.org.apache.hadoop.fs
+        for df, path in self.tables:
+            if chosen(df):
+                at = files.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.tables = [(df, path) for df, path in self.tables if not chosen(df)]
+
+
 def numbered(df: DataFrame, first: int, name: str = "seq") -> DataFrame:
     """Consecutive numbers in the order of partitions: rows are written once, then only a count per partition meets."""
     kept = materialise(df.withColumn("_m", F.monotonically_increasing_id()))
