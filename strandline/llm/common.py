@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.sources import shared
+from strandline.sources.shared import Scratch
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Scratch", "is_held_out", "materialise", "row_blocks", "strings", "table", "utf8"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strandline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder, which survives lost executors, and read it.
-
-    Unlike a checkpoint it is compressed, is read by column and starts a new plan. The files stay until
-    the cluster clears that folder, as results may still be read from them."""
-    path = f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.materialise(df)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -4,18 +4,21 @@ Every shingle has a place in several global orders of all shingles. In each orde
 prefix is its first |s| - ceil(t|s|) + 1 shingles, and two documents of similarity t or more share a
 prefix shingle in every one of them. The first order puts frequent shingles last (their counts come
 from a sketch of fixed size over all rows) and hashes the others; its prefixes are indexed. A pair
-found there becomes a candidate only if it also shares prefix shingles in the other orders and its
-sizes allow the similarity; the rest is verified on whole sets.
-
-Documents with equal sets form a class, and one row stands for it. Links are sought in rounds. In a
-round each indexed shingle names one leader among its documents, and only pairs of a leader with a
-document of another component are made, so a group of n near copies makes n pairs, not n^2. The last
-step decides the pairs that are still open: those of one shingle in different components. Shingles of up
-to ``SHORT`` open documents make their pairs. The documents of a longer list are dealt into tiles, and
-pairs of tiles are compared in one piece by profiles: a profile sums the hashes of a set's shingles in each
-of ``CELLS`` cells, so sets with d different cells have d or more different shingles, and pairs with more
-than the similarity allows are not even made. What the last step leaves apart has been shown to be apart,
-so the components are those of all links.
+found there becomes a candidate only if its sizes and profiles allow the similarity and it also shares
+prefix shingles in both other orders; the rest is verified on whole sets.
+
+Documents with equal sets form a class, named by the set's size and digest. The lists of the index are
+read in the order of shingle and size: one of up to ``SHORT`` classes makes its pairs at once. Longer
+lists, and those of shingles that the sketch counts as ``HOT``, go through rounds: each names one
+leader, and only pairs of the leader with a class of another component are made, so a group of n near
+copies makes n pairs, not n^2; lists within one component leave. What is open after the last round is
+decided pair by pair: classes of different components whose sizes fit are dealt into tiles by size, and
+pairs of tiles are compared in one piece by profiles. A profile counts a set's shingles in each of
+``CELLS`` cells modulo 256, so the differences add up to no more than the shingles not shared. What is
+left apart has been shown to be apart, so the components are those of all links.
+
+Tables between the steps lie in the shared folder and go once their last reader is done; sets are not
+written: the texts of candidates are read again and meet once for each pair.
 
 Defined results: null text, empty text and text without words have an empty set, which is linked
 with nothing; repeated rows are in one class and each has its row; a null doc_id has a row, and a
@@ -26,56 +29,68 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialise, row_blocks, utf8
-from strandline.llm.components import components
-from strandline.llm.shingles import mix, shingle_sets
+from strandline.llm.common import Scratch, row_blocks, utf8
+from strandline.llm.components import components, rough_components
+from strandline.llm.shingles import WordHashes, mix, shingle_sets
 
-COUNTERS = 1 << 21
+COUNTER_BITS = 20
 SLICES = 64
+HOT = 6  # a shingle counted 2^HOT times as often as the mean, or more
 ROUNDS = 1
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 21
-SHORT, TILE, CELLS = 8, 1024, 256
+SHORT, TILE, CELLS = 32, 1024, 64
+FAN = 64  # pairs of one class that are verified in one piece
+SEEN = 100_000  # classes that a task remembers, to index a copy once
+SIZE_BYTES, KEY_BYTES = 3, 16
+LARGEST = (1 << 8 * SIZE_BYTES) - 1
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
-def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def sets_of(texts: pa.Array, n: int, hashes: WordHashes) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The first row and the sets of blocks of rows."""
     raw, offsets = utf8(texts)
     for a, b in row_blocks(offsets, BLOCK):
-        yield a, shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+        yield a, shingle_sets([raw[x:y].tobytes() for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())], n, hashes)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (mix(h ^ SEEDS[0]) % np.uint64(COUNTERS)).astype(np.int64)
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
-    """For each counter of the sketch, the power of two of its count over twice the mean count.
+    """For each counter of the sketch, 1 + the power of two of its count over twice the mean count, 0 below that.
 
-    Each partition counts all its rows; counts are summed by slices of the sketch, and ``COUNTERS``
-    numbers reach the driver, whatever the size of the table."""
-    width = COUNTERS // SLICES
+    Each partition counts all its rows, to 65,535 a counter; counts are summed by slices of the sketch,
+    and its numbers reach the driver, whatever the size of the table."""
+    counters = 1 << COUNTER_BITS
+    width = counters // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total, hashes = np.zeros(counters, np.uint32), WordHashes()
         for batch in batches:
-            for _, sets in sets_of(batch.column("text"), n):
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
+            for _, sets in sets_of(batch.column("text"), n, hashes):
+                total += np.bincount(_counter(np.concatenate(sets)), minlength=counters).astype(np.uint32)
         if total.any():
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, width)], pa.binary())], ["slice", "counts"])
+            least = np.minimum(total, 65_535).astype("<u2").reshape(SLICES, width)
+            planes = [x.view(np.uint8).reshape(-1, 2).T.tobytes() for x in least]  # low bytes, then high ones, mostly 0
+            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(planes, pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
+                low, high = np.frombuffer(c, np.uint8).reshape(2, width).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + low + (high << np.uint64(8))
         yield pa.record_batch([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
@@ -84,7 +99,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     for r in rows:
         counts[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
     counts = counts.reshape(-1)
-    mean = max(1.0, float(counts.sum()) / COUNTERS)
+    mean = max(1.0, float(counts.sum()) / counters)
     return np.log2(np.maximum(counts / (2 * mean), 0.5)).astype(np.int64).clip(-1, 14).astype(np.int8) + np.int8(1)
 
 
@@ -93,195 +108,421 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, set size, digest of the set and its profile and its prefixes in the three orders; the last two as 32 bits of each hash,
-    which can only add candidates."""
+    """A row per document: doc_id, key (a hash of the text), size n and the class.
+
+    The first row of a class in a task also has its profile and its prefixes: in the first order, split
+    by ``HOT``, and in the two others as 32 bits of each hash, which can only add candidates."""
     levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        level, hashes, seen = levels.value, WordHashes(), set()
         for batch in batches:
-            keys = batch.column("doc_id")
-            for at, sets in sets_of(batch.column("text"), n):
+            for at, sets in sets_of(batch.column("text"), n, hashes):
                 sizes = [len(s) for s in sets]
+                raw = [min(k, LARGEST).to_bytes(SIZE_BYTES, "big") + hashlib.blake2b(s.tobytes(), digest_size=KEY_BYTES - SIZE_BYTES).digest() for k, s in zip(sizes, sets)]
                 flat = np.concatenate(sets)
-                first = ((level[_bucket(flat)].astype(np.uint64)) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
+                rare = level[_counter(flat)]
+                first = (rare.astype(np.uint64) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
                 others = [mix(flat ^ SEEDS[2]), mix(flat + SEEDS[2])]
-                spread = mix(flat ^ SEEDS[0])
-                cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (spread >> np.uint64(56)).astype(np.int64)
-                profiles = np.bincount(cell, (spread & np.uint64(255)).astype(float), len(sets) * CELLS).astype(np.int64).astype(np.uint8).reshape(-1, CELLS)
-                p1, p2, p3, digests = [], [], [], []
+                cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (mix(flat ^ SEEDS[0]) % np.uint64(CELLS)).astype(np.int64)
+                profiles = np.bincount(cell, minlength=len(sets) * CELLS).astype(np.uint8).reshape(-1, CELLS)
+                own: list = []
+                cold, hot, p2, p3 = [], [], [], []
                 stop = 0
-                for s, size in zip(sets, sizes):
+                for i, (name, size) in enumerate(zip(raw, sizes)):
                     start, stop = stop, stop + size
-                    p = prefix_length(size, percent) if size else 0
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    p1.append(s[np.argpartition(first[start:stop], p - 1)[:p]] if p else s)
+                    if not size or name in seen:
+                        own.append(None)
+                        for out in (cold, hot, p2, p3):
+                            out.append(flat[:0])
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                    own.append(profiles[i].tobytes())
+                    p = prefix_length(size, percent)
+                    at1 = start + np.argpartition(first[start:stop], p - 1)[:p]
+                    often = rare[at1] >= HOT
+                    cold.append(flat[at1[~often]])
+                    hot.append(flat[at1[often]])
                     for o, out in zip(others, (p2, p3)):
-                        out.append(np.partition(o[start:stop], p - 1)[:p] >> np.uint64(32) if p else s)
-                ends = np.cumsum([0, *map(len, p1)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(u).view(i))) for x, u, i in ((p1, "u8", "i8"), (p2, "u4", "i4"), (p3, "u4", "i4"))]
-                yield pa.record_batch([keys.slice(at, len(sets)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in profiles], pa.binary()), *lists], ["doc_id", "n", "digest", "profile", "p1", "p2", "p3"])
+                        out.append(np.partition(o[start:stop], p - 1)[:p] >> np.uint64(32))
+                keys = [batch.column(c).slice(at, len(sets)) for c in ("doc_id", "key")]
+                lists = [_lists(x, u, i) for x, u, i in ((cold, "u8", "i8"), (hot, "u8", "i8"), (p2, "u4", "i4"), (p3, "u4", "i4"))]
+                yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), *lists], ["doc_id", "key", "n", "class", "profile", "cold", "hot", "p2", "p3"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, profile binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(sign, "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>, p2 array<int>, p3 array<int>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity; up to ``BROADCAST_ROWS`` pairs go to the sets, not the sets to them."""
+def _lists(rows: list[np.ndarray], unsigned: str, signed: str) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(unsigned).view(signed)))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("set_a"), batch.column("set_b")
-            keep = []
-            for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = sets.select(F.col("rid").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rid").alias("b"), F.col("set").alias("set_b"))
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+def _raw(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equal lengths as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one shingle and different components c whose sizes and profiles allow the similarity.
+def _sizes(names: np.ndarray) -> np.ndarray:
+    return names[:, :SIZE_BYTES].astype(np.int64) @ (256 ** np.arange(SIZE_BYTES - 1, -1, -1))
+
+
+def _names(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], pa.binary())
 
-    ``lists`` has (shingle, rows, rid, c, n, profile). A list of ``rows`` documents has one task for each
-    pair of its tiles, so no task sees more than about two tiles, whatever the length of the list."""
-    tiles = F.ceil(F.col("rows") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rid"), tiles).cast("int")
-    dealt = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "c", "n", "profile")
-
-    def compare(group: pa.Table) -> pa.Table:
-        own, rid, c, n = (group.column(x).to_numpy() for x in ("own", "rid", "c", "n"))
-        profile = np.frombuffer(b"".join(group.column("profile").to_pylist()), np.uint8).reshape(-1, CELLS)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for a in left:
-            b = right[(c[right] != c[a]) & (rid[right] > rid[a])] if i == j else right[c[right] != c[a]]
-            total = n[a] + n[b]
-            least = -(-percent * total // (100 + percent))
-            b, total = b[least <= np.minimum(n[a], n[b])], total[least <= np.minimum(n[a], n[b])]
-            b = b[(profile[b] != profile[a]).sum(1) <= most_different(total, percent)]
-            found.append(np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], 1))
-        both = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-    return dealt.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-
-def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rid, set) for ``wanted`` (rid, doc_id, digest): their texts are read again and told apart by digest.
-
-    The wanted ids are broadcast while they are at most ``BROADCAST_ROWS``, else joined by a shuffle."""
-    small = wanted.count() <= BROADCAST_ROWS
-    ids, keys = wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), wanted.select("rid", "digest")
-    ids, keys = (F.broadcast(ids), F.broadcast(keys)) if small else (ids, keys)
-    found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-
-    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in sets_of(batch.column("text"), n):
-                raw = [s.tobytes() for s in sets]
-                yield pa.record_batch([pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["digest", "set"])
 
-    return found.mapInArrow(hash_sets, "digest binary, set binary").join(keys, "digest").select("rid", "set")
+def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(shingle, a, b) from (shingle, class): the fitting pairs of short lists, shingle null, and the entries a of long ones, b null.
 
+    Rows come by shingle and class, so by size; a list that a batch ends in is carried on, ``SHORT`` entries of it at most."""
 
-def most_different(total: np.ndarray, percent: int) -> np.ndarray:
-    """How many shingles two sets of ``total`` shingles may not share at the similarity."""
-    return total - 2 * -(-percent * total // (100 + percent))
+    short = SHORT
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, name = np.zeros(0, np.int64), np.zeros((0, KEY_BYTES), np.uint8)
+        long: int | None = None  # the list that is carried on is a long one
+        for batch in _then_none(batches):
+            if batch is not None:
+                shingle = np.concatenate([shingle, batch.column("shingle").to_numpy()])
+                name = np.concatenate([name, _raw(batch.column("class"), KEY_BYTES)])
+            if not len(shingle):
+                continue
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1]).any(1)
+            shingle, name = shingle[new], name[new]
+            starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            ends = np.append(starts[1:], len(shingle))
+            counts = ends - starts
+            whole = len(starts) if batch is None else len(starts) - 1
+            of = np.arange(len(starts))
+            is_long = (counts > short) | (shingle[starts] == long if long is not None else False)
+            listed = of[is_long & ((of < whole) | (batch is not None))]
+            known = int(shingle[0] == long) if long is not None else 0  # the first entry was listed before
+            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(max(starts[i], known), ends[i]) for i in listed)])
+            if len(at):
+                yield _found(pa.array(shingle[at]), _names(name[at]), pa.nulls(len(at), pa.binary()))
+            a, b = fitting_pairs(name, starts[:whole], np.where(is_long, 0, counts)[:whole], short, percent)
+            if len(a):
+                yield _found(pa.nulls(len(a), pa.int64()), _names(name[a]), _names(name[b]))
+            if batch is not None:  # the last list may go on; of a long one its last entry tells repeated ones apart
+                long = int(shingle[-1]) if is_long[-1] else None
+                keep = len(shingle) - 1 if is_long[-1] else starts[-1]
+                shingle, name = shingle[keep:], name[keep:]
 
-def filtered(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix shingles in the further orders too and whose profiles allow the similarity."""
+    sorted_lists = postings.repartition("shingle").sortWithinPartitions("shingle", "class")
+    return sorted_lists.mapInArrow(run, "shingle long, a binary, b binary")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(f"profile_{c}").to_pylist()), np.uint8).reshape(-1, CELLS) for c in "ab")
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = (x != y).sum(1) <= most_different(total, percent)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    of_a, of_b = (prefixes.select(F.col("rid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "profile", "p2", "p3"))) for x in "ab")
-    both = pairs.join(of_a, "a").join(of_b, "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
-    return both.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(compare, "a long, b long")
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _found(shingle: pa.Array, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([shingle, a, b], ["shingle", "a", "b"])
+
+
+def fitting_pairs(name: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs of lists of 2 to ``most`` entries, sorted by size, whose sizes allow the similarity."""
+    size = _sizes(name)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, most):
+        first = starts[counts > step]
+        if not len(first):
+            break
+        n = counts[counts > step] - step
+        a = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        fits = 100 * size[a] >= percent * size[a + step]
+        left.append(a[fits])
+        right.append(a[fits] + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def most_different(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles two sets of these sizes may not share at the similarity; no bound is known for ``LARGEST`` sets."""
+    total = x + y
+    return np.where(np.maximum(x, y) < LARGEST, total - 2 * -(-percent * total // (100 + percent)), 1 << 40)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of shingles not shared, from rows of profiles."""
+    d = x - y
+    return np.minimum(d, -d).sum(-1, dtype=np.int64)
+
+
+def _size(name: str) -> Column:
+    return F.conv(F.hex(F.substring(name, 1, SIZE_BYTES)), 16, 10).cast("long")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal ``keys``, integers; one that a batch ends in is carried on."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        of = np.stack([held.column(k).to_numpy() for k in keys], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]).any(1)])).tolist()
+        for x, y in zip(starts, starts[1:]):
+            yield held.slice(x, y - x)
+        held = held.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one shingle and different components c whose sizes and profiles allow the similarity.
+
+    ``lists`` has (shingle, class, c, profile). A list of more than ``TILE`` entries is dealt into bands of
+    size, in which neighbours alone can fit, and these into tiles; each pair of tiles is compared by itself."""
+    tile = TILE
+    width = float(np.log(100 / percent)) * 1.000001  # sizes that just fit stay neighbours
+    banded = lists.withColumn("band", F.floor(F.log(_size("class").cast("double")) / width).cast("int"))
+    counts = banded.groupBy("shingle", "band").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
+    dealt, many = banded.join(counts, "shingle"), F.col("rows") > tile
+    place = lambda band, sub: F.struct(band.alias("band"), sub.alias("sub"))
+
+    def tiles(step: int) -> Column:
+        return F.coalesce(F.try_element_at("tiles", F.col("band") + step), F.lit(0))
+
+    def beside(step: int) -> Column:
+        n = tiles(step)
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda s: s < n), lambda s: place(F.col("band") + step, s))
+
+    alone = place(F.lit(0), F.lit(0))
+    dealt = dealt.withColumn("own", F.when(many, place(F.col("band"), F.pmod(F.xxhash64("class"), tiles(0)).cast("int"))).otherwise(alone))
+    dealt = dealt.withColumn("other", F.explode(F.when(many, F.concat(*map(beside, (-1, 0, 1)))).otherwise(F.array(alone))))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    keys = ["shingle", "i_band", "i_sub", "j_band", "j_sub"]
+    dealt = dealt.select("shingle", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("band", "sub")), (F.col("own") <= F.col("other")).alias("left"), "class", "c", "profile")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, keys):
+            one = lambda c: run.column(c).combine_chunks()  # noqa: B023, E731
+            name, c, profile, left = _raw(one("class"), KEY_BYTES), _raw(one("c"), KEY_BYTES), _raw(one("profile"), CELLS), one("left").to_numpy(zero_copy_only=False)
+            a, b = compared(name, c, profile, None if run.column("i_band")[0] == run.column("j_band")[0] and run.column("i_sub")[0] == run.column("j_sub")[0] else left, percent)
+            if len(a):
+                swap = np.array([bytes(p) > bytes(q) for p, q in zip(name[a], name[b])])
+                yield pa.record_batch([_names(name[np.where(swap, b, a)]), _names(name[np.where(swap, a, b)])], ["a", "b"])
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary")
+
+
+def compared(name: np.ndarray, c: np.ndarray, profile: np.ndarray, left: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pairs of different components that sizes and profiles allow: within one tile, or of its left with its other rows."""
+    size = _sizes(name)
+    x, y = (np.arange(len(name)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    y = y[np.argsort(size[y], kind="stable")]
+    x = y if left is None else x
+    low = np.searchsorted(size[y], -(-percent * size[x] // 100))
+    high = np.searchsorted(size[y], 100 * size[x] // percent, "right")
+    if left is None:
+        low = np.maximum(low, np.arange(1, len(x) + 1))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, i in enumerate(x.tolist()):
+        near = y[low[k] : high[k]]
+        near = near[(c[near] != c[i]).any(1)]
+        near = near[_apart(profile[near], profile[i]) <= most_different(size[near], size[i], percent)]
+        a.append(np.full(len(near), i))
+        b.append(near)
+    return np.concatenate(a), np.concatenate(b)
+
+
+class Linked(NamedTuple):
+    """``rows`` has (doc_id, key, n, class) of every document, ``labels`` (class, c) of every class that has a link."""
+
+    rows: DataFrame
+    labels: DataFrame
+
+
+class Join:
+    """The steps of one join, which share its tables."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, percent: int) -> None:
+        self.spark, self.docs, self.n, self.percent = spark, docs.withColumn("key", F.xxhash64("text")), n, percent
+        self.scratch = Scratch(spark)
+
+    def linked(self, rounds: int) -> Linked:
+        write = self.scratch.write
+        signed = write(signatures(self.spark, self.docs, self.n, self.percent))
+        rows = write(signed.select("doc_id", "key", "n", "class"))
+        self.own = signed.where("profile is not null")
+        found = write(list_pairs(self.own.select("class", F.explode("cold").alias("shingle")), self.percent))
+        hot = self.own.select(F.explode("hot").alias("shingle"), "class").distinct()
+        opened = write(found.where("shingle is not null").select("shingle", F.col("a").alias("class")).unionByName(hot))
+        pairs = write(found.where("shingle is null").select("a", "b").distinct())
+        self.scratch.drop(found)
+        links = tried = None
+        for k in range(rounds + 2):  # short lists, rounds of leaders, tiles
+            if k:
+                opened = self._open(opened, links, k, rounds)
+                if opened is None:
+                    break
+                pairs = self._leader_pairs(opened) if k <= rounds else tile_pairs(self._profiled(opened), self.percent)
+                pairs = write(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+            mine = self._verified(self._candidates(pairs))
+            links = mine if links is None else links.unionByName(mine)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = components(self.spark, links)
+        self.scratch.keep_only(rows)
+        return Linked(rows, labels.select(F.col("v").alias("class"), "c"))
+
+    def _small(self, df: DataFrame, rows: int) -> DataFrame:
+        """A hint to send ``df`` to all executors if its rows are known to be few."""
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+    def _open(self, lists: DataFrame, links: DataFrame, k: int, rounds: int) -> DataFrame | None:
+        """Entries (shingle, class, c, leader) of the lists with two components or more.
+
+        The leader of the first round is a class with the most links, which the text that copies were made
+        from has; later ones are chosen by a hash. Rounds may take connected classes for apart, tiles don't."""
+        if lists.isEmpty():
+            return None
+        write, drop = self.scratch.write, self.scratch.drop
+        labels = components(self.spark, links, self.scratch) if k > rounds else rough_components(links)
+        degrees = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
+        of_class = labels.join(degrees, "v").select(F.col("v").alias("class"), "c", "degree")
+        labelled = write(lists.select("shingle", "class").join(of_class, "class", "left").select("shingle", "class", F.coalesce("c", "class").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        drop(lists, labels)
+        by = F.struct(F.lit(0) if k > 1 else F.col("degree"), F.xxhash64("class", F.lit(k)))
+        state = labelled.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by(F.struct("class", "c"), by).alias("leader"))
+        state = write(state.where("low < high").select("shingle", "leader"))
+        out = write(labelled.join(state, "shingle").select("shingle", "class", "c", "leader"))
+        drop(labelled, state)
+        return None if out.isEmpty() else out
+
+    def _leader_pairs(self, opened: DataFrame) -> DataFrame:
+        a, b = F.least("class", "leader.class"), F.greatest("class", "leader.class")  # by size first
+        pairs = opened.where("c <> leader.c").select(a.alias("a"), b.alias("b"))
+        return pairs.where(100 * _size("a") >= self.percent * _size("b"))
+
+    def _profiled(self, opened: DataFrame) -> DataFrame:
+        wanted = self.scratch.write(opened.select("class").distinct())
+        profiles = self._of_classes(wanted, wanted.count(), "profile")
+        return opened.select("shingle", "class", "c").join(profiles, "class")
+
+    def _of_classes(self, wanted: DataFrame, rows: int, *columns: str) -> DataFrame:
+        return self.own.select("class", *columns).join(self._small(wanted, rows), "class").dropDuplicates(["class"])
+
+    def _candidates(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose profiles allow the similarity and that share prefix shingles in the further orders too."""
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size = [_sizes(_raw(batch.column(c), KEY_BYTES)) for c in "ab"]
+                apart = _apart(*(_raw(batch.column(f"profile_{c}"), CELLS) for c in "ab"))
+                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(apart <= most_different(*size, percent)))
+
+        near = self.scratch.write(self._with(pairs, "profile").mapInArrow(compare, "a binary, b binary"))
+        shared = self._with(near, "p2", "p3").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        out = self.scratch.write(shared.select("a", "b"))
+        self.scratch.drop(near)
+        return out
+
+    def _with(self, pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with the columns of both classes."""
+        n = pairs.count()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        mine = self._of_classes(ends, 2 * n, *columns)
+        of = lambda x: mine.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return self._small(pairs, n).join(of("a"), "a").join(of("b"), "b")
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets have the similarity.
+
+        Texts are read again. Up to ``FAN`` pairs of one a meet in one piece: its text comes first, then those of the b."""
+        n, percent, rows = self.n, self.percent, pairs.count()
+        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("pieces"))
+        of_b = pairs.join(fan, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
+        of_a = fan.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        asked = self.scratch.write(of_a.unionByName(of_b))
+        place = self.own.select("class", F.struct("doc_id", "key").alias("row")).join(self._small(asked.select("class").distinct(), 2 * rows), "class")
+        place = place.groupBy("class").agg(F.min("row").alias("row"))
+        asked_at = self._small(asked.join(place, "class").select("class", "a", "piece", F.col("row.doc_id").alias("at_id"), F.col("row.key").alias("at_key")), 2 * rows)
+        texts = self.docs.join(asked_at, (F.col("key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("a", "piece", "class", "text")
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of repeated rows one of each task."""
+            seen: set = set()
+            for batch in batches:
+                keys = list(zip(batch.column("a").to_pylist(), batch.column("piece").to_pylist(), batch.column("class").to_pylist()))
+                new = [not (k in seen or seen.add(k)) for k in keys]
+                yield batch if all(new) else batch.filter(pa.array(new))
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, own, of_own = WordHashes(), None, None
+            for batch in batches:
+                a, name, keep = batch.column("a").to_pylist(), batch.column("class").to_pylist(), []
+                for at, sets in sets_of(batch.column("text"), n, hashes):
+                    for i, s in enumerate(sets, at):
+                        if name[i] == a[i]:
+                            own, of_own = s, a[i]
+                            keep.append(False)
+                            continue
+                        if of_own != a[i]:
+                            raise ValueError("a pair without its first text")
+                        both = _shared(own, s)
+                        keep.append(100 * both >= percent * (len(own) + len(s) - both))
+                yield pa.record_batch([batch.column("a"), batch.column("class")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        met = texts.mapInArrow(once, texts.schema).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
+        out = self.scratch.write(met.select("a", "class", "text").mapInArrow(check, "a binary, b binary"))
+        self.scratch.drop(asked)
+        return out
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Common values of two sorted sets."""
+    if not len(x):
+        return 0
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
+
+
+def _ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def link_documents(spark: SparkSession, docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id that links lead to."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(spark, signatures(spark, docs, n, percent).withColumn("rid", F.monotonically_increasing_id()))
-    narrow = rows.select("rid", "doc_id", "n", "digest")
-    # classes of equal sets; the written table lets the joins with all rows split a class that is hot
-    classes = materialise(spark, narrow.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
-    chosen = narrow.join(classes.select("rid"), "rid").select("rid", "doc_id", "digest")
-    index = rows.select("rid", "p1").join(classes.select("rid"), "rid").select("rid", F.explode("p1").alias("shingle"))
-    shared = materialise(spark, index.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1").select("shingle"))
-    postings = materialise(spark, index.join(shared, "shingle"))
-    live = materialise(spark, postings.select("rid").distinct())
-    sizes = materialise(spark, classes.select("rid", "n").join(live, "rid"))
-    prefixes = materialise(spark, rows.select("rid", "n", "profile", "p2", "p3").join(live, "rid"))
-
-    links = tried = None
-    for k in range(rounds + 1):
-        if links is None:
-            open_postings = postings.withColumn("c", F.col("rid"))
-        else:
-            labels = components(spark, links).select(F.col("v").alias("rid"), "c")
-            labelled = postings.join(labels, "rid", "left").select("shingle", "rid", F.coalesce("c", "rid").alias("c"))
-            undecided = labelled.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-            open_postings = materialise(spark, labelled.join(materialise(spark, undecided), "shingle"))
-            postings = open_postings.select("shingle", "rid")
-        fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-        open_postings = open_postings.join(sizes, "rid")
-        if k < rounds:
-            leader = open_postings.groupBy("shingle").agg(F.min_by(F.struct("rid", "c", "n"), F.xxhash64("rid", F.lit(k))).alias("leader"))
-            near = open_postings.join(materialise(spark, leader), "shingle").where("c <> leader.c").withColumn("m", F.col("leader.n")).where(fits)
-            pairs = near.select(F.least("rid", "leader.rid").alias("a"), F.greatest("rid", "leader.rid").alias("b"))
-        else:
-            counts = materialise(spark, open_postings.groupBy("shingle").agg(F.count("*").alias("rows")))
-            counted = materialise(spark, open_postings.join(counts, "shingle"))
-            short = counted.where(F.col("rows") <= SHORT)
-            x, y = short.select("shingle", F.col("rid").alias("a"), F.col("c").alias("c_a"), "n"), short.select("shingle", F.col("rid").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("m"))
-            made = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & F.expr(fits)).select("a", "b")
-            pairs = made.unionByName(tile_pairs(counted.where(F.col("rows") > SHORT).join(prefixes.select("rid", "profile"), "rid"), percent))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(spark, filtered(materialise(spark, pairs), prefixes, percent))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        sets = candidate_sets(docs, materialise(spark, chosen.join(ends, "rid")), n)
-        found = materialise(spark, verified(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-
-    labels = components(spark, links).select(F.col("v").alias("rid"), "c")
-    named = classes.join(labels, "rid", "left").select("digest", "least_id", F.coalesce("c", "rid").alias("c"))
-    names = materialise(spark, named.groupBy("c").agg(F.min("least_id").alias("component_id")))
-    of_digest = materialise(spark, named.join(names, "c").select("digest", "component_id"))
-    out = narrow.join(of_digest, "digest", "left")
+    rows, labels = Join(spark, _ids_and_texts(docs, id_col, text_col), n, percent).linked(rounds)
+    scratch = Scratch(spark)
+    # a class that is hot: the written tables let the join with all rows split it
+    classes = scratch.write(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id")))
+    linked = labels.join(classes, "class")
+    names = linked.groupBy("c").agg(F.min("least_id").alias("component_id"))
+    of_class = classes.join(linked.join(names, "c").select("class", "component_id"), "class", "left")
+    of_class = scratch.write(of_class.select("class", F.coalesce("component_id", "least_id").alias("component_id")))
+    scratch.drop(classes)
+    out = rows.join(of_class, "class", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the first of their component: that with its smallest doc_id.
-
-    Of rows that share this doc_id one stays. Rows with a null id all stay, as nothing names them."""
-    linked = link_documents(spark, docs, n, percent).where("doc_id is not null")
-    gone = materialise(spark, linked.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return _once(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
-
-
-def _once(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id, the first by text; rows of other ids are not touched."""
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    """The rows of ``docs``, all columns, one of each component: that with the smallest doc_id.
+
+    It is decided row by row: of rows with one doc_id and different texts only those that are copies go; of
+    texts with the smallest doc_id that with the smaller hash stays, of equal ones with it any one. Rows
+    without words and rows with a null doc_id, which nothing names, all stay."""
+    rows, labels = Join(spark, _ids_and_texts(docs, "doc_id", "text"), n, percent).linked(ROUNDS)
+    scratch = Scratch(spark)
+    named = rows.where("n > 0 and doc_id is not null").join(labels, "class", "left").select("doc_id", "key", F.coalesce("c", "class").alias("c"))
+    firsts = scratch.write(named.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1"))
+    copies = named.join(firsts, "c")
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    tag = uuid.uuid4().hex[:8]  # no column of ``docs`` has such a name
+    of_id, of_key, key = f"id_{tag}", f"key_{tag}", F.xxhash64(docs["text"].cast("string"))
+    names = F.col("doc_id").alias(of_id), F.col("key").alias(of_key)
+    gone = scratch.write(copies.where(~same).select(*names).distinct())
+    again = scratch.write(copies.where(same).groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(*names))
+    scratch.drop(firsts)
+    at = (docs["doc_id"].cast("long") == F.col(of_id)) & (key == F.col(of_key))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = docs.join(few(gone), at, "left_anti")
     if again.isEmpty():
-        return docs
-    of_id = Window.partitionBy("doc_id").orderBy("text")
-    twice = docs.join(again, "doc_id", "left_semi").withColumn("_place", F.row_number().over(of_id)).where("_place = 1").drop("_place")
-    return docs.join(again, "doc_id", "left_anti").unionByName(twice.select(docs.columns))
+        return kept
+    once = docs.join(few(again), at, "left_semi").withColumn(of_key, key).dropDuplicates(["doc_id", of_key]).drop(of_key)
+    return kept.join(few(again), at, "left_anti").unionByName(once)

@@ -1,16 +1,20 @@
-"""Vectorised hashes of words and word shingles over the bytes of a block of texts.
+"""Hashes of words and word shingles.
 
-Words are runs of bytes other than space and 0x09-0x0D; A-Z counts as a-z. A word's hash is a
-polynomial over random values of its bytes, modulo 2^64, taken from running sums and mixed; a
-shingle's hash mixes its words' hashes. Sets are compared by these 64-bit values: two different
-shingles of a pair of documents of 10,000 words each are confused with probability 10^-11.
+Words are runs of bytes other than space and 0x09-0x0D; A-Z counts as a-z. In sets a word's hash is
+its xxhash64, and a shingle's hash mixes its words' hashes. Sets are compared by these 64-bit values:
+two different shingles of a pair of documents of 10,000 words each are confused with probability 10^-11.
+``words`` and ``word_hashes`` serve the features of passages, where a confusion decides nothing: the
+latter is a polynomial over random values of the bytes, modulo 2^64, taken from running sums.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WINDOW = 1 << 20
+MEMO = 200_000
+ONE_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 U64 = np.uint64
 
 
@@ -76,27 +80,54 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + (ends - starts).astype(U64) * FACTORS[-1])
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every row; a row of fewer words has its whole sequence as one."""
-    starts, ends, first = words(raw, offsets)
-    h = word_hashes(raw, starts, ends)
-    rows = first.tolist()
+class WordHashes(dict):
+    """xxhash64 of words, A-Z as a-z; those of recent short words are remembered, within ``MEMO`` entries of 32 bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The hash of every word of a text; a long text is split piece by piece."""
+        text = text.lower()
+        if len(text) <= WINDOW:
+            return np.fromiter(map(self.__getitem__, words := text.split()), U64, len(words))
+        text, out, at = text.translate(ONE_SPACE), [], 0
+        while at < len(text):
+            stop = len(text) if at + WINDOW >= len(text) else text.rfind(b" ", at, at + WINDOW) + 1 or text.find(b" ", at + WINDOW) + 1 or len(text)
+            out.append(np.fromiter(map(self.__getitem__, words := text[at:stop].split()), U64, len(words)))
+            at = stop
+        return np.concatenate(out)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def shingle_sets(texts: list[bytes], n: int, hashes: WordHashes) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text; a text of fewer words has its whole sequence as one."""
+    rows = list(map(hashes.of, texts))
+    ends = np.cumsum([0, *map(len, rows)]).tolist()
+    h = np.concatenate([np.zeros(0, U64), *rows])
     if len(h) >= n:
         joined = h[: len(h) - n + 1] * FACTORS[0]
         for k in range(1, n):
             joined = joined + h[k : len(h) - n + 1 + k] * FACTORS[k]
         joined = mix(joined)
     out = []
-    for a, b in zip(rows, rows[1:]):
+    for a, b in zip(ends, ends[1:]):
         if b - a >= n:
-            out.append(np.unique(joined[a : b - n + 1]))
+            out.append(distinct(joined[a : b - n + 1]))
         elif b > a:
             out.append(mix((h[a:b] * FACTORS[: b - a]).sum(keepdims=True) + U64(b - a)))
         else:
             out.append(h[:0])
     return out
-
-
-def shingle_occurrences(raw: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    """The hashes of all shingles of all rows, in no order, with repetitions."""
-    return np.concatenate([np.zeros(0, U64), *shingle_sets(raw, offsets, n)])

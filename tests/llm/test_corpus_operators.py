@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from strandline.llm import binary_search, components, jaccard_join, language_mixture, learned_partitions, passage_quality, shingles
-from strandline.llm.common import utf8
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string"
@@ -86,17 +85,43 @@ def test_join_of_an_empty_table(spark):
 
 
 def test_shingle_hashes_equal_sets():
-    import pyarrow as pa
-
     texts = [t or "" for t in near_copies()]
-    raw, offsets = utf8(pa.array(texts))
     for n in (3, 5):
-        got = shingles.shingle_sets(raw, offsets, n)
+        got = shingles.shingle_sets([t.encode() for t in texts], n, shingles.WordHashes())
         for i in range(0, len(texts), 5):
             for j in range(0, len(texts), 7):
                 assert len(np.intersect1d(got[i], got[j])) == len(shingle_set(texts[i], n) & shingle_set(texts[j], n))
 
 
+def test_hashes_tell_apart_words_that_polynomials_confuse():
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    x, y = shingles.shingle_sets([f"start {one} end".encode(), f"start {other} end".encode()], 3, shingles.WordHashes())
+    assert len(x) == len(y) == 1 and x[0] != y[0]
+
+
+def test_hashes_of_a_long_text_equal_those_of_its_words(monkeypatch):
+    monkeypatch.setattr(shingles, "WINDOW", 16)
+    text = b"One\ttwo three " + b"x" * 50 + b"\x0b\nfour  five " * 9
+    hashes = shingles.WordHashes()
+    assert hashes.of(text).tolist() == [hashes[w] for w in text.lower().split()]
+
+
+def test_keep_first_decides_by_row(spark):
+    """A repeated id loses its copy, not its unique text; columns with any names stay."""
+    words = [f"w{k}" for k in range(40)]
+    t, u = " ".join(words), " ".join(words[::-1])
+    near = " ".join([*words[:-1], "other"])
+    rows = [(3, t, "a"), (5, t, "b"), (5, u, "c"), (9, near, "d"), (9, near, "e"), (1, "", "f"), (7, u + " x", "g"), (7, u + " x", "g"), (None, t, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _place string").selectExpr("*", "_place AS class", "1 AS key", "2 AS c")
+    kept = jaccard_join.keep_first(spark, df, 5, 80)
+    assert kept.columns == df.columns
+    assert sorted(r["_place"] for r in kept.collect()) == ["a", "c", "f", "h"]
+    twice = spark.createDataFrame([*rows[:1] * 3, rows[2]], "doc_id long, text string, _place string")
+    assert sorted(r["_place"] for r in jaccard_join.keep_first(spark, twice, 5, 80).collect()) == ["a", "c"]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(20, 1, -1)] + [(100, k) for k in range(101, 130)] + [(5, 5)]
     got = {r["v"]: r["c"] for r in components.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
