@@ -13,12 +13,12 @@ lists, and those of shingles that the sketch counts as ``HOT``, go through round
 leader, and only pairs of the leader with a class of another component are made, so a group of n near
 copies makes n pairs, not n^2; lists within one component leave. What is open after the last round is
 decided pair by pair: classes of different components whose sizes fit are dealt into tiles by size, and
-pairs of tiles are compared in one piece by profiles. A profile counts a set's shingles in each of
-``CELLS`` cells modulo 256, so the differences add up to no more than the shingles not shared. What is
-left apart has been shown to be apart, so the components are those of all links.
+pairs of tiles are compared in one piece, with the same filters and then on whole sets. A profile counts a
+set's shingles in each of ``CELLS`` cells modulo 256, so the differences add up to no more than the shingles
+not shared. What is left apart has been shown to be apart, so the components are those of all links.
 
-Tables between the steps lie in the shared folder and go once their last reader is done; sets are not
-written: the texts of candidates are read again and meet once for each pair.
+Tables between the steps lie in the shared folder and go once their last reader is done. The texts of
+candidates are read again and meet once for each pair.
 
 Defined results: null text, empty text and text without words have an empty set, which is linked
 with nothing; repeated rows are in one class and each has its row; a null doc_id has a row, and a
@@ -48,7 +48,7 @@ HOT = 6  # a shingle counted 2^HOT times as often as the mean, or more
 ROUNDS = 1
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 21
-SHORT, TILE, CELLS = 32, 1024, 64
+SHORT, TILE, TILE_SHINGLES, CELLS = 32, 1024, 1 << 20, 64
 FAN = 64  # pairs of one class that are verified in one piece
 SEEN = 100_000  # classes that a task remembers, to index a copy once
 SIZE_BYTES, KEY_BYTES = 3, 16
@@ -103,6 +103,10 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     return np.log2(np.maximum(counts / (2 * mean), 0.5)).astype(np.int64).clip(-1, 14).astype(np.int8) + np.int8(1)
 
 
+def further_orders(h: np.ndarray) -> list[np.ndarray]:
+    return [mix(h ^ SEEDS[2]), mix(h + SEEDS[2])]
+
+
 def prefix_length(size: int, percent: int) -> int:
     return size - (percent * size + 99) // 100 + 1
 
@@ -123,7 +127,7 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                 flat = np.concatenate(sets)
                 rare = level[_counter(flat)]
                 first = (rare.astype(np.uint64) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
-                others = [mix(flat ^ SEEDS[2]), mix(flat + SEEDS[2])]
+                others = further_orders(flat)
                 cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (mix(flat ^ SEEDS[0]) % np.uint64(CELLS)).astype(np.int64)
                 profiles = np.bincount(cell, minlength=len(sets) * CELLS).astype(np.uint8).reshape(-1, CELLS)
                 own: list = []
@@ -270,63 +274,105 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield held
 
 
-def tile_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one shingle and different components c whose sizes and profiles allow the similarity.
+def tile_links(lists: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components c of one shingle's entries: for each tile those of a forest.
 
-    ``lists`` has (shingle, class, c, profile). A list of more than ``TILE`` entries is dealt into bands of
-    size, in which neighbours alone can fit, and these into tiles; each pair of tiles is compared by itself."""
-    tile = TILE
+    ``lists`` has (shingle, class, c, leader, profile, set). A list of more than ``TILE`` entries or
+    ``TILE_SHINGLES`` shingles is dealt into bands of size, in which neighbours alone can fit, and these by side,
+    the leader's component or another, into tiles. Each pair of tiles is compared by itself, but never two of
+    the leader's component, so what a few classes need to be told apart from many costs few tiles."""
+    most = TILE, TILE_SHINGLES
     width = float(np.log(100 / percent)) * 1.000001  # sizes that just fit stay neighbours
-    banded = lists.withColumn("band", F.floor(F.log(_size("class").cast("double")) / width).cast("int"))
-    counts = banded.groupBy("shingle", "band").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("shingle").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / tile).cast("int")))).alias("tiles"))
-    dealt, many = banded.join(counts, "shingle"), F.col("rows") > tile
-    place = lambda band, sub: F.struct(band.alias("band"), sub.alias("sub"))
-
-    def tiles(step: int) -> Column:
-        return F.coalesce(F.try_element_at("tiles", F.col("band") + step), F.lit(0))
-
-    def beside(step: int) -> Column:
-        n = tiles(step)
-        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda s: s < n), lambda s: place(F.col("band") + step, s))
+    band = F.floor(F.log(_size("class").cast("double")) / width).cast("int")
+    sided = lists.withColumn("band", band).withColumn("side", (F.col("c") == F.col("leader.c")).cast("int"))
+    sided = sided.withColumn("cell", F.col("band") * 2 + F.col("side"))
+    tiles = F.greatest(F.ceil(F.col("n") / most[0]), F.ceil(F.col("shingles") / most[1])).cast("int")
+    counts = sided.groupBy("shingle", "cell").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") / 8).alias("shingles"))
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("rows"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("cell", tiles.alias("tiles")))).alias("tiles"))
+    dealt, many = sided.join(counts, "shingle"), (F.col("rows") > most[0]) | (F.col("shingles") > most[1])
+    place = lambda cell, sub: F.struct(cell.alias("cell"), sub.alias("sub"))
+
+    def of_cell(cell: Column) -> Column:
+        return F.coalesce(F.try_element_at("tiles", cell), F.lit(0))
+
+    def beside(step: int, side: int) -> Column:
+        cell = (F.col("band") + step) * 2 + side
+        n = F.when((F.col("side") == 0) | F.lit(side == 0), of_cell(cell)).otherwise(0)
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda s: s < n), lambda s: place(cell, s))
 
     alone = place(F.lit(0), F.lit(0))
-    dealt = dealt.withColumn("own", F.when(many, place(F.col("band"), F.pmod(F.xxhash64("class"), tiles(0)).cast("int"))).otherwise(alone))
-    dealt = dealt.withColumn("other", F.explode(F.when(many, F.concat(*map(beside, (-1, 0, 1)))).otherwise(F.array(alone))))
+    dealt = dealt.withColumn("own", F.when(many, place(F.col("cell"), F.pmod(F.xxhash64("class"), of_cell(F.col("cell"))).cast("int"))).otherwise(alone))
+    others = F.concat(*(beside(step, side) for step in (-1, 0, 1) for side in (0, 1)))
+    dealt = dealt.withColumn("other", F.explode(F.when(many, others).otherwise(F.array(alone))))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    keys = ["shingle", "i_band", "i_sub", "j_band", "j_sub"]
-    dealt = dealt.select("shingle", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("band", "sub")), (F.col("own") <= F.col("other")).alias("left"), "class", "c", "profile")
+    keys = ["shingle", "i_cell", "i_sub", "j_cell", "j_sub"]
+    dealt = dealt.select("shingle", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("cell", "sub")), (F.col("own") <= F.col("other")).alias("left"), "class", "c", "profile", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, keys):
             one = lambda c: run.column(c).combine_chunks()  # noqa: B023, E731
-            name, c, profile, left = _raw(one("class"), KEY_BYTES), _raw(one("c"), KEY_BYTES), _raw(one("profile"), CELLS), one("left").to_numpy(zero_copy_only=False)
-            a, b = compared(name, c, profile, None if run.column("i_band")[0] == run.column("j_band")[0] and run.column("i_sub")[0] == run.column("j_sub")[0] else left, percent)
-            if len(a):
-                swap = np.array([bytes(p) > bytes(q) for p, q in zip(name[a], name[b])])
-                yield pa.record_batch([_names(name[np.where(swap, b, a)]), _names(name[np.where(swap, a, b)])], ["a", "b"])
+            same = all(run.column(f"i_{x}")[0] == run.column(f"j_{x}")[0] for x in ("cell", "sub"))
+            name, sets = _raw(one("class"), KEY_BYTES), [np.frombuffer(x, np.uint64) for x in one("set").to_pylist()]
+            found = Tile(name, _raw(one("c"), KEY_BYTES), _raw(one("profile"), CELLS), sets, percent).forest(None if same else one("left").to_numpy(zero_copy_only=False))
+            if found:
+                a, b = zip(*found)
+                yield pa.record_batch([_names(name[list(a)]), _names(name[list(b)])], ["a", "b"])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary")
 
 
-def compared(name: np.ndarray, c: np.ndarray, profile: np.ndarray, left: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of pairs of different components that sizes and profiles allow: within one tile, or of its left with its other rows."""
-    size = _sizes(name)
-    x, y = (np.arange(len(name)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
-    y = y[np.argsort(size[y], kind="stable")]
-    x = y if left is None else x
-    low = np.searchsorted(size[y], -(-percent * size[x] // 100))
-    high = np.searchsorted(size[y], 100 * size[x] // percent, "right")
-    if left is None:
-        low = np.maximum(low, np.arange(1, len(x) + 1))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, i in enumerate(x.tolist()):
-        near = y[low[k] : high[k]]
-        near = near[(c[near] != c[i]).any(1)]
-        near = near[_apart(profile[near], profile[i]) <= most_different(size[near], size[i], percent)]
-        a.append(np.full(len(near), i))
-        b.append(near)
-    return np.concatenate(a), np.concatenate(b)
+class Tile:
+    """Entries that are compared in one piece: by size, component, profile, the prefixes of the two further orders and whole sets."""
+
+    def __init__(self, name: np.ndarray, c: np.ndarray, profile: np.ndarray, sets: list[np.ndarray], percent: int) -> None:
+        self.profile, self.percent = profile, percent
+        self.bound, self.size = _sizes(name), np.array(list(map(len, sets)))
+        self.c = np.unique(c, axis=0, return_inverse=True)[1].reshape(-1)
+        flat = np.concatenate(sets)
+        self.values, dense = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(self.size)
+        self.whole = np.split(dense.reshape(-1), ends[:-1])
+        lengths = [prefix_length(k, percent) for k in self.size.tolist()]
+        self.prefixes = []
+        for order in further_orders(flat):
+            parts = np.split(order, ends[:-1])
+            self.prefixes.append([w[np.argpartition(o, p - 1)[:p]] for w, o, p in zip(self.whole, parts, lengths)])
+
+    def forest(self, left: np.ndarray | None) -> list[tuple[int, int]]:
+        """Links between components, each of which joins two that were apart, of all rows or of the left with the other ones."""
+        bound, percent = self.bound, self.percent
+        x, y = (np.arange(len(bound)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+        y = y[np.argsort(bound[y], kind="stable")]
+        x = y if left is None else x
+        low = np.searchsorted(bound[y], -(-percent * bound[x] // 100))
+        high = np.searchsorted(bound[y], 100 * bound[x] // percent, "right")
+        if left is None:
+            low = np.maximum(low, np.arange(1, len(x) + 1))
+        mark, found = np.zeros(len(self.values), bool), []
+        for k, i in enumerate(x.tolist()):
+            near = y[low[k] : high[k]]
+            near = near[self.c[near] != self.c[i]]
+            near = near[_apart(self.profile[near], self.profile[i]) <= most_different(bound[near], bound[i], percent)]
+            for prefix in self.prefixes:
+                near = near[self._marked(mark, prefix, i, near) > 0]
+            both = self._marked(mark, self.whole, i, near)
+            for j in near[100 * both >= percent * (self.size[near] + self.size[i] - both)].tolist():
+                if self.c[i] != self.c[j]:
+                    self.c[self.c == self.c[j]] = self.c[i]
+                    found.append((i, j))
+        return found
+
+    @staticmethod
+    def _marked(mark: np.ndarray, parts: list[np.ndarray], i: int, near: np.ndarray) -> np.ndarray:
+        """How many values of each near part are in the part of i."""
+        if not len(near):
+            return np.zeros(0, np.int64)
+        mark[parts[i]] = True
+        chosen = [parts[j] for j in near.tolist()]
+        starts = np.cumsum([0, *map(len, chosen[:-1])])
+        out = np.add.reduceat(mark[np.concatenate(chosen)], starts, dtype=np.int64)
+        mark[parts[i]] = False
+        return out
 
 
 class Linked(NamedTuple):
@@ -359,8 +405,10 @@ class Join:
                 opened = self._open(opened, links, k, rounds)
                 if opened is None:
                     break
-                pairs = self._leader_pairs(opened) if k <= rounds else tile_pairs(self._profiled(opened), self.percent)
-                pairs = write(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+                if k > rounds:
+                    links = links.unionByName(write(tile_links(self._with_sets(opened), self.percent)))
+                    break
+                pairs = write(self._leader_pairs(opened).distinct().join(tried, ["a", "b"], "left_anti"))
             mine = self._verified(self._candidates(pairs))
             links = mine if links is None else links.unionByName(mine)
             tried = pairs if tried is None else tried.unionByName(pairs)
@@ -397,10 +445,18 @@ class Join:
         pairs = opened.where("c <> leader.c").select(a.alias("a"), b.alias("b"))
         return pairs.where(100 * _size("a") >= self.percent * _size("b"))
 
-    def _profiled(self, opened: DataFrame) -> DataFrame:
+    def _with_sets(self, opened: DataFrame) -> DataFrame:
         wanted = self.scratch.write(opened.select("class").distinct())
-        profiles = self._of_classes(wanted, wanted.count(), "profile")
-        return opened.select("shingle", "class", "c").join(profiles, "class")
+        rows, n = wanted.count(), self.n
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                for at, sets in sets_of(batch.column("text"), n, hashes):
+                    yield pa.record_batch([batch.column("class").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
+
+        sets = self.scratch.write(self._texts(wanted, ["class"], rows).mapInArrow(to_sets, "class binary, set binary").dropDuplicates(["class"]))
+        return opened.join(self._of_classes(wanted, rows, "profile"), "class").join(sets, "class")
 
     def _of_classes(self, wanted: DataFrame, rows: int, *columns: str) -> DataFrame:
         return self.own.select("class", *columns).join(self._small(wanted, rows), "class").dropDuplicates(["class"])
@@ -429,6 +485,22 @@ class Join:
         of = lambda x: mine.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
         return self._small(pairs, n).join(of("a"), "a").join(of("b"), "b")
 
+    def _texts(self, asked: DataFrame, columns: list[str], rows: int) -> DataFrame:
+        """``columns`` of ``asked``, ``class`` among them, with the class's text; of repeated rows one of each task."""
+        place = self.own.select("class", F.struct("doc_id", "key").alias("row")).join(self._small(asked.select("class").distinct(), rows), "class")
+        place = place.groupBy("class").agg(F.min("row").alias("row"))
+        at = self._small(asked.join(place, "class").select(*columns, F.col("row.doc_id").alias("at_id"), F.col("row.key").alias("at_key")), rows)
+        texts = self.docs.join(at, (F.col("key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select(*columns, "text")
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set = set()
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+                new = [not (k in seen or seen.add(k)) for k in keys]
+                yield batch if all(new) else batch.filter(pa.array(new))
+
+        return texts.mapInArrow(once, texts.schema)
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets have the similarity.
 
@@ -438,19 +510,6 @@ class Join:
         of_b = pairs.join(fan, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
         of_a = fan.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         asked = self.scratch.write(of_a.unionByName(of_b))
-        place = self.own.select("class", F.struct("doc_id", "key").alias("row")).join(self._small(asked.select("class").distinct(), 2 * rows), "class")
-        place = place.groupBy("class").agg(F.min("row").alias("row"))
-        asked_at = self._small(asked.join(place, "class").select("class", "a", "piece", F.col("row.doc_id").alias("at_id"), F.col("row.key").alias("at_key")), 2 * rows)
-        texts = self.docs.join(asked_at, (F.col("key") == F.col("at_key")) & F.col("doc_id").eqNullSafe(F.col("at_id"))).select("a", "piece", "class", "text")
-
-        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Of repeated rows one of each task."""
-            seen: set = set()
-            for batch in batches:
-                keys = list(zip(batch.column("a").to_pylist(), batch.column("piece").to_pylist(), batch.column("class").to_pylist()))
-                new = [not (k in seen or seen.add(k)) for k in keys]
-                yield batch if all(new) else batch.filter(pa.array(new))
-
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, own, of_own = WordHashes(), None, None
             for batch in batches:
@@ -467,7 +526,7 @@ class Join:
                         keep.append(100 * both >= percent * (len(own) + len(s) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("class")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        met = texts.mapInArrow(once, texts.schema).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
+        met = self._texts(asked, ["a", "piece", "class"], 2 * rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
         out = self.scratch.write(met.select("a", "class", "text").mapInArrow(check, "a binary, b binary"))
         self.scratch.drop(asked)
         return out
