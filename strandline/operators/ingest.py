@@ -70,8 +70,9 @@ def point_reads(asked: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, column: str, *by: str) -> DataFrame:
-    exact = lambda q: F.percentile(column, F.lit(q))
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), exact(0.9).alias("p90"), exact(0.95).alias("p95"), exact(0.99).alias("p99"), F.max(column).alias("most"))
+    """Interpolated percentiles; they and the mean are rounded to six digits, as the last bits depend on the order of sums."""
+    exact = lambda q: F.round(F.percentile(column, F.lit(q)), 6)
+    return df.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"), exact(0.9).alias("p90"), exact(0.95).alias("p95"), exact(0.99).alias("p99"), F.max(column).alias("most"))
 
 
 def parse_updates(lines: DataFrame) -> DataFrame:

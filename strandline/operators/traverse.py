@@ -99,10 +99,15 @@ def all_shortest_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else ends.select("pid", "path")
 
 
-def closure(edges: DataFrame, most: int) -> DataFrame:
-    """(v, upper, steps): every vertex with itself and all that up to ``most`` edges (src, dst) lead to."""
-    sql = """WITH RECURSIVE up(v, upper, steps) AS (
-  SELECT v, v, 0 FROM (SELECT src AS v FROM {edges} UNION SELECT dst FROM {edges})
-  UNION ALL SELECT up.v, e.dst, up.steps + 1 FROM up JOIN {edges} e ON e.src = up.upper WHERE up.steps < {most}
-) SELECT v, upper, min(steps) AS steps FROM up GROUP BY v, upper"""
-    return edges.sparkSession.sql(sql, edges=edges, most=most)
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(v, upper, steps): every vertex with itself and all that the edges (src, dst) lead to, within ``most`` of them if given.
+
+    Each level goes on from the pairs that were new in the one before, so cycles and joining paths end."""
+    edges = edges.select("src", "dst")
+    ends = edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
+    level, known, steps = materialise(ends.select("v", F.col("v").alias("upper"), F.lit(0).alias("steps"))), None, 0
+    while not level.isEmpty() and (most is None or steps < most):
+        known, steps = level if known is None else known.unionByName(level), steps + 1
+        further = level.join(edges, F.col("upper") == F.col("src")).select("v", F.col("dst").alias("upper"), F.lit(steps).alias("steps")).distinct()
+        level = materialise(further.join(known.select("v", "upper"), ["v", "upper"], "left_anti").select("v", "upper", "steps"))
+    return level if known is None else known.unionByName(level)

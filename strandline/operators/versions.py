@@ -35,7 +35,8 @@ def visible(group: DataFrame, as_of: int | None = None) -> DataFrame:
 def newest(group: DataFrame, as_of: int | None = None) -> DataFrame:
     """The newest record of every edge; it may be a tombstone."""
     rows = group if as_of is None else group.where(F.col("seq") <= as_of)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*EDGE).orderBy(F.desc("seq")))).where("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in EDGE]
+    return rows.groupBy(*EDGE).agg(F.max_by(F.struct(*rest), "seq").alias("_newest")).select(*EDGE, "_newest.*")
 
 
 def latest_updates(updates: DataFrame, as_of_commit: int | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def compacted(group: DataFrame, updates: DataFrame) -> DataFrame:
     """The group as compaction rewrites it: hidden versions gone, updates merged, sorted by key within partitions."""
     names = [c for c in group.columns if c not in (*KEY, "deleted")]
     rows = overlay(visible(group), updates, names).withColumn("deleted", F.lit(False))
-    return rows.repartition("src").sortWithinPartitions("src", "dst", F.desc("seq"))
+    return rows.repartitionByRange("src", "dst", F.desc("seq")).sortWithinPartitions("src", "dst", F.desc("seq"))
 
 
 def both_directions(edges: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def country_of_place(g: Graph) -> DataFrame:
 
 def tag_closure(g: Graph) -> DataFrame:
     """(tag, tag_class): a tag's class and all classes above it."""
-    chain = closure(g["tag_class"].where("subclass_of >= 0").select(F.col("id").alias("src"), F.col("subclass_of").alias("dst")), 16)
+    chain = closure(g["tag_class"].where("subclass_of >= 0").select(F.col("id").alias("src"), F.col("subclass_of").alias("dst")))
     return g["tag"].select(F.col("id").alias("tag"), F.col("tag_class").alias("v")).join(chain, "v").select("tag", F.col("upper").alias("tag_class"))
 
 

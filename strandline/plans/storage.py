@@ -179,7 +179,7 @@ def _nodes(spark, sf_dir):
     return V.newest(rows).drop("deleted")
 
 
-@_register("SELECT o_custkey AS vid, o_orderpriority AS N0, o_orderstatus AS N1 FROM orders WHERE o_custkey < 50 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+@_register("SELECT o_custkey AS vid, o_orderpriority AS N0, o_orderstatus AS N1 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
 def get_node(spark, sf_dir):
     return _nodes(spark, sf_dir).select(F.col("src").alias("vid"), "N0", "N1")
 
@@ -286,9 +286,9 @@ def event_month_dow(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", S.event_month(ms).alias("month"), S.event_weekday(ms).alias("weekday"))
 
 
-@_register("SELECT p_partkey, CAST(CASE WHEN p_size * 5 < 40 THEN 0 WHEN p_size * 5 < 80 THEN 1 WHEN p_size * 5 < 160 THEN 2 ELSE 3 END AS INTEGER) AS bucket, lpad(CAST(p_size AS VARCHAR), 2, '0') AS code FROM part WHERE p_size < 100")
+@_register("SELECT p_partkey, CAST(CASE WHEN p_size * 5 < 40 THEN 0 WHEN p_size * 5 < 80 THEN 1 WHEN p_size * 5 < 160 THEN 2 ELSE 3 END AS INTEGER) AS bucket, lpad(CAST(p_size AS VARCHAR), 2, '0') AS code FROM part")
 def length_bucket(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 100").select("p_partkey", S.length_bucket(F.col("p_size") * 5).alias("bucket"), S.edge_type_code("p_size").alias("code"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", S.length_bucket(F.col("p_size") * 5).alias("bucket"), S.edge_type_code("p_size").alias("code"))
 
 
 @_register("SELECT o_orderkey, 1 + xor(o_orderkey, o_custkey) % 100 AS weight FROM orders")
@@ -332,7 +332,7 @@ def skipped_edges_count(spark, sf_dir):
     return ingest.skipped_edges(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("src")), known, "src")
 
 
-@_register("SELECT source, row_index, ms, CAST(row_number() OVER (ORDER BY ms, source, row_index) AS INTEGER) AS place FROM (SELECT 'events' AS source, event_id AS row_index, epoch_us(ts) // 1000 - 820454400000 AS ms FROM events WHERE event_id < 500 UNION ALL SELECT 'orders', o_orderkey, epoch_us(o_orderdate) // 1000 FROM orders WHERE o_orderkey < 500)")
+@_register("SELECT source, row_index, ms, CAST(row_number() OVER (ORDER BY ms, source, row_index) AS INTEGER) AS place FROM (SELECT 'events' AS source, event_id AS row_index, epoch_us(ts) // 1000 - 820454400000 AS ms FROM events UNION ALL SELECT 'orders', o_orderkey, epoch_us(o_orderdate) // 1000 FROM orders)")
 def update_stream_merge(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("row_index"), (F.unix_millis(F.col("ts").cast("timestamp")) - 820454400000).alias("ms"))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("row_index"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
@@ -358,7 +358,7 @@ def mixed_due_tasks(spark, sf_dir):
     return replay.due_tasks(spark.range(0, 1001, 100).select(F.col("id").alias("done")), plan, 1000)
 
 
-@_register("SELECT event_type, avg(ms) AS mean, quantile_cont(ms, 0.9) AS p90, quantile_cont(ms, 0.95) AS p95, quantile_cont(ms, 0.99) AS p99, max(ms) AS most FROM (SELECT event_type, CAST(event_id % 1000 AS DOUBLE) AS ms FROM events) GROUP BY event_type")
+@_register("SELECT event_type, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, max(ms) AS most FROM (SELECT event_type, CAST(event_id % 1000 AS DOUBLE) AS ms FROM events) GROUP BY event_type")
 def write_latency_percentiles(spark, sf_dir):
     return ingest.latency_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("event_id") % 1000).cast("double").alias("ms")), "ms", "event_type")
 

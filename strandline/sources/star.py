@@ -1,8 +1,7 @@
 """A financial and a social graph projected from the star-schema tables, one SQL text per relation.
 
 The texts serve both engines, so that a query and its SQL counterpart start from equal rows; what is
-compared is what the operators make of them. Where a text keeps only a part of its rows, Spark reads
-the relation in ``WHOLE`` instead, and the SQL counterpart sees less. ``MS(x)`` is milliseconds since 1970 and ``IDIV(a, b)``
+compared is what the operators make of them. ``MS(x)`` is milliseconds since 1970 and ``IDIV(a, b)``
 whole division. Sign-ins are moved by 26 years into the time range of the transfers.
 """
 
@@ -34,8 +33,8 @@ FINANCIAL = {
     "invest": "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "guarantee": """SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM lineitem
         JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-        WHERE l_linenumber = 1 AND l_quantity >= 49 AND l_orderkey % 10 = 0""",
-    "apply": "SELECT CAST(c_nationkey AS BIGINT) AS src, o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0",
+        WHERE l_linenumber = 1 AND l_quantity >= 49""",
+    "apply": "SELECT CAST(c_nationkey AS BIGINT) AS src, o_orderkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT'",
 }
 
 SOCIAL = {
@@ -48,33 +47,23 @@ SOCIAL = {
         UNION ALL SELECT CAST(r_regionkey AS BIGINT), r_name, 'continent', -1 FROM region""",
     "tag": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS tag_class FROM nation",
     "tag_class": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name, CAST(r_regionkey AS BIGINT) - 1 AS subclass_of FROM region",
-    "knows": """SELECT DISTINCT o_custkey % 150 AS src, l_suppkey * 7 % 150 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-        WHERE l_orderkey % 50 = 0 AND o_custkey % 150 <> l_suppkey * 7 % 150""",
-    "post": """SELECT o_orderkey AS id, o_custkey % 150 AS creator, MS(o_orderdate) AS ts, 100 + o_orderkey % 25 AS place, o_orderkey % 50 AS forum,
+    "knows": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey",
+    "post": """SELECT o_orderkey AS id, o_custkey AS creator, MS(o_orderdate) AS ts, 100 + o_orderkey % 25 AS place, o_orderkey % 50 AS forum,
         CASE WHEN o_orderstatus = 'P' THEN concat('photo', CAST(o_orderkey AS VARCHAR(20))) ELSE '' END AS image, o_orderpriority AS content FROM orders""",
-    "comment": f"""SELECT 10000000 + event_id AS id, user_id % 150 AS creator, MS(ts) - {SHIFT} AS ts, 100 + event_id % 25 AS place, event_type AS content,
+    "comment": f"""SELECT 10000000 + event_id AS id, user_id AS creator, MS(ts) - {SHIFT} AS ts, 100 + event_id % 25 AS place, event_type AS content,
         CASE WHEN event_id % 3 > 0 OR event_id = 0 THEN event_id % 1500 ELSE -1 END AS reply_of_post,
         CASE WHEN event_id % 3 > 0 OR event_id = 0 THEN -1 ELSE 10000000 + IDIV(event_id, 3) END AS reply_of_comment FROM events""",
     "post_tag": """SELECT o_orderkey AS message, o_custkey % 25 AS tag FROM orders UNION SELECT o_orderkey, o_orderkey % 25 FROM orders""",
     "interest": "SELECT c_custkey AS person, CAST(c_nationkey AS BIGINT) AS tag FROM customer UNION SELECT c_custkey, c_custkey % 25 FROM customer",
-    "member": f"SELECT event_id % 50 AS forum, user_id % 150 AS person, max(MS(ts) - {SHIFT}) AS joined FROM events GROUP BY event_id % 50, user_id % 150",
+    "member": f"SELECT event_id % 50 AS forum, user_id AS person, max(MS(ts) - {SHIFT}) AS joined FROM events GROUP BY event_id % 50, user_id",
     "forum": "SELECT DISTINCT o_orderkey % 50 AS id, concat('Forum ', CAST(o_orderkey % 50 AS VARCHAR(10))) AS title FROM orders",
-    "likes": f"SELECT event_id * 7 % 150 AS person, event_id % 1500 AS message, max(MS(ts) - {SHIFT}) AS ts FROM events GROUP BY event_id * 7 % 150, event_id % 1500",
+    "likes": f"""SELECT event_id * 7 % persons AS person, event_id % 1500 AS message, max(MS(ts) - {SHIFT}) AS ts
+        FROM events CROSS JOIN (SELECT count(*) AS persons FROM customer) c GROUP BY event_id * 7 % persons, event_id % 1500""",
     "organisation": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'company' ELSE 'university' END AS type, s_name AS name, 100 + CAST(s_nationkey AS BIGINT) AS place FROM supplier",
     "work_at": "SELECT c_custkey AS person, c_custkey % 5 * 2 AS organisation, CAST(1990 + c_custkey % 30 AS INTEGER) AS since FROM customer",
     "study_at": "SELECT c_custkey AS person, c_custkey % 5 * 2 + 1 AS organisation, CAST(1980 + c_custkey % 30 AS INTEGER) AS class_year FROM customer",
 }
 RELATIONS = FINANCIAL | SOCIAL
-#: Whole relations, for Spark, of those whose text drops rows by a remainder of an id or folds persons into 150.
-WHOLE = {
-    "guarantee": RELATIONS["guarantee"].replace(" AND l_orderkey % 10 = 0", ""),
-    "apply": RELATIONS["apply"].replace(" AND o_orderkey % 5 = 0", ""),
-    "knows": "SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <> l_suppkey",
-    "post": RELATIONS["post"].replace("o_custkey % 150 AS creator", "o_custkey AS creator"),
-    "comment": RELATIONS["comment"].replace("user_id % 150 AS creator", "user_id AS creator"),
-    "member": RELATIONS["member"].replace("user_id % 150", "user_id"),
-    "likes": RELATIONS["likes"].replace("% 150 ", "% persons ").replace("% 150,", "% persons,").replace("FROM events", "FROM events CROSS JOIN (SELECT count(*) AS persons FROM customer) c"),
-}
 
 
 def _dialect(sql: str, engine: str) -> str:
@@ -83,7 +72,7 @@ def _dialect(sql: str, engine: str) -> str:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = _dialect(WHOLE.get(name, RELATIONS[name]), "spark")
+    sql = _dialect(RELATIONS[name], "spark")
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
@@ -94,8 +83,3 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def relation_sql(name: str) -> str:
     """The relation as a common table expression for DuckDB."""
     return f"{name} AS ({_dialect(RELATIONS[name], 'duckdb')})"
-
-
-def whole_sql(name: str) -> str:
-    """The same of the relation that Spark reads."""
-    return f"{name} AS ({_dialect(WHOLE.get(name, RELATIONS[name]), 'duckdb')})"

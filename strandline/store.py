@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from strandline.functions.scalars import fixed_width
 from strandline.model import GraphError, GraphSchema, Status, load_schema
@@ -35,10 +34,11 @@ class Graph:
     # ------------------------------------------------------------ tables
 
     def _read(self, folder: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-        except AnalysisException:
+        """The table in a folder, empty as long as the folder is not there; whatever else goes wrong is an error."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
     def _epoch(self, table: str) -> int:
         return self._read("manifest", EPOCHS).where(F.col("table") == table).agg(F.max("epoch")).first()[0] or 0
@@ -158,8 +158,10 @@ class Graph:
             raise GraphError(Status.INVALID_ARGUMENT, "unknown or no properties")
         bound = df.join(self.nodes.groupBy("vid").agg(F.max("seq").alias("base_seq")), "vid")
         missing, commit = materialise(df.select("vid").join(bound, "vid", "left_anti")), self.next_commit()
-        for n in names:
-            self._append(bound.select(F.lit("node").alias("kind"), F.lit("").alias("grp"), F.lit(n).alias("property"), F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(True).alias("is_out"), F.lit(0).cast("short").alias("edge_type"), "base_seq", F.lit(commit).cast("long").alias("commit_seq"), fixed_width(n, self.schema.length(n)).alias("value")), "updates")
+        key = [F.lit("node").alias("kind"), F.lit("").alias("grp"), F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(True).alias("is_out"), F.lit(0).cast("short").alias("edge_type"), "base_seq", F.lit(commit).cast("long").alias("commit_seq")]
+        changes = F.explode(F.array(*(F.struct(F.lit(n).alias("property"), fixed_width(n, self.schema.length(n)).alias("value")) for n in names)))
+        batch = bound.select(*key, changes.alias("change")).select("*", "change.property", "change.value").drop("change")
+        self._append(batch.select(self.updates.columns), "updates")  # one write: the whole batch or nothing of it
         return missing
 
     # ------------------------------------------------------------ reads
