@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.sources import shared
 from strandline.sources.shared import Scratch
 
-__all__ = ["Scratch", "is_held_out", "materialise", "row_blocks", "strings", "table", "utf8"]
+__all__ = ["Scratch", "is_held_out", "materialise", "row_blocks", "strings", "table", "trimmed", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,19 @@ def row_blocks(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives freed memory back at its end, as Python workers live on between tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def is_held_out(doc_ids: list[int | None]) -> list[bool]:
     """crc32 of the decimal doc_id, modulo 4, is 2; a null id is not held out."""
     return [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in doc_ids]

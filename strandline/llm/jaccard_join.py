@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, row_blocks, utf8
+from strandline.llm.common import Scratch, row_blocks, trimmed, utf8
 from strandline.llm.components import components, rough_components
 from strandline.llm.shingles import WordHashes, mix, shingle_sets
 
@@ -47,7 +47,7 @@ SLICES = 64
 HOT = 6  # a shingle counted 2^HOT times as often as the mean, or more
 ROUNDS = 1
 BROADCAST_ROWS = 1_000_000
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 SHORT, TILE, TILE_SHINGLES, CELLS = 32, 1024, 1 << 20, 64
 FAN = 64  # pairs of one class that are verified in one piece
 SEEN = 100_000  # classes that a task remembers, to index a copy once
@@ -94,7 +94,7 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         yield pa.record_batch([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(SLICES // 4, "slice").mapInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(trimmed(count), schema).repartition(SLICES // 4, "slice").mapInArrow(add, schema).collect()
     counts = np.zeros((SLICES, width), np.uint64)
     for r in rows:
         counts[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
@@ -154,7 +154,7 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                 lists = [_lists(x, u, i) for x, u, i in ((cold, "u8", "i8"), (hot, "u8", "i8"), (p2, "u4", "i4"), (p3, "u4", "i4"))]
                 yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), *lists], ["doc_id", "key", "n", "class", "profile", "cold", "hot", "p2", "p3"])
 
-    return docs.mapInArrow(sign, "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(trimmed(sign), "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>, p2 array<int>, p3 array<int>")
 
 
 def _lists(rows: list[np.ndarray], unsigned: str, signed: str) -> pa.Array:
@@ -214,7 +214,7 @@ def list_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 shingle, name = shingle[keep:], name[keep:]
 
     sorted_lists = postings.repartition("shingle").sortWithinPartitions("shingle", "class")
-    return sorted_lists.mapInArrow(run, "shingle long, a binary, b binary")
+    return sorted_lists.mapInArrow(trimmed(run), "shingle long, a binary, b binary")
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -318,7 +318,7 @@ def tile_links(lists: DataFrame, percent: int) -> DataFrame:
                 a, b = zip(*found)
                 yield pa.record_batch([_names(name[list(a)]), _names(name[list(b)])], ["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(compare), "a binary, b binary")
 
 
 class Tile:
@@ -455,7 +455,7 @@ class Join:
                 for at, sets in sets_of(batch.column("text"), n, hashes):
                     yield pa.record_batch([batch.column("class").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
 
-        sets = self.scratch.write(self._texts(wanted, ["class"], rows).mapInArrow(to_sets, "class binary, set binary").dropDuplicates(["class"]))
+        sets = self.scratch.write(self._texts(wanted, ["class"], rows).mapInArrow(trimmed(to_sets), "class binary, set binary").dropDuplicates(["class"]))
         return opened.join(self._of_classes(wanted, rows, "profile"), "class").join(sets, "class")
 
     def _of_classes(self, wanted: DataFrame, rows: int, *columns: str) -> DataFrame:
@@ -471,7 +471,7 @@ class Join:
                 apart = _apart(*(_raw(batch.column(f"profile_{c}"), CELLS) for c in "ab"))
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(apart <= most_different(*size, percent)))
 
-        near = self.scratch.write(self._with(pairs, "profile").mapInArrow(compare, "a binary, b binary"))
+        near = self.scratch.write(self._with(pairs, "profile").mapInArrow(trimmed(compare), "a binary, b binary"))
         shared = self._with(near, "p2", "p3").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
         out = self.scratch.write(shared.select("a", "b"))
         self.scratch.drop(near)
@@ -527,7 +527,7 @@ class Join:
                 yield pa.record_batch([batch.column("a"), batch.column("class")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         met = self._texts(asked, ["a", "piece", "class"], 2 * rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
-        out = self.scratch.write(met.select("a", "class", "text").mapInArrow(check, "a binary, b binary"))
+        out = self.scratch.write(met.select("a", "class", "text").mapInArrow(trimmed(check), "a binary, b binary"))
         self.scratch.drop(asked)
         return out
 

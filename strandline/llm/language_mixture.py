@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import is_held_out, row_blocks, strings, utf8
+from strandline.llm.common import is_held_out, row_blocks, strings, trimmed, utf8
 
 BITS = 15
 STEPS, REFITS = 8, 4
@@ -85,7 +85,7 @@ def learn(docs: DataFrame) -> Model:
         yield written(sums)
 
     schema = "lang string, counts binary"
-    found = docs.mapInArrow(count, schema).repartition(8, "lang").mapInArrow(add, schema).collect()
+    found = docs.mapInArrow(trimmed(count), schema).repartition(8, "lang").mapInArrow(add, schema).collect()
     counts = {r["lang"]: np.frombuffer(r["counts"], np.uint64) + SMOOTHING for r in found}
     languages = sorted(counts)
     columns = [np.log(counts[k] / counts[k].sum()) for k in languages]
@@ -162,7 +162,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
                 )
 
     schema = "id long, held_out boolean, lang_pred string, score double, mixture array<struct<lang string, share double>>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_col)
 
 
 def identified(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> DataFrame:
@@ -178,4 +178,4 @@ def identified(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> Data
                 lettered = [any(map(str.isalpha, t)) for t in texts.slice(a, b - a).to_pylist()]
                 yield batch.slice(a, b - a).filter(pa.array((share.max(1, initial=0) >= least) & np.array(lettered, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -9,7 +9,7 @@ position fails at most once, so the work is linear in the text. A character outs
 vocabulary takes part in no merge; it stands for its bytes.
 
 Text is cut before each run of spaces where the vocabulary has no entry with a space after another
-character (else not at all), and the results of recent chunks are kept in a bounded memo. Rows are
+character (else not at all), and the results of recent chunks are kept in a memo of bounded bytes. Rows are
 encoded where they are read: no shuffle, memory bounded by a block of rows or one document.
 
 Defined results: null and empty text encode to the begin and end ids alone and decode to the empty
@@ -24,6 +24,7 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -33,10 +34,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import row_blocks, strings, utf8
+from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 MARK = "▁"
-MEMO = 500_000
+MEMO_BYTES = 40 << 20  # of remembered chunks, about, in one worker
+ENTRY = 220  # bytes of an entry besides its characters
+PAIRS = 400_000  # remembered pairs of tokens, of about 100 bytes each
 CLOSING = ".,;:!?*#$%&|"
 RUN = re.compile(r" +[^ ]*")
 INFINITE = float("inf")
@@ -66,6 +69,7 @@ class MergeCodec:
         self.steps: dict[int, tuple[bool, list[tuple[float, str, str]]]] = {}
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.held = 0
         self.changed: dict[str, str] = {}  # the chunks whose ids decode to something else
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}  # neighbours within an entry
 
@@ -90,7 +94,7 @@ class MergeCodec:
     def _fit(self, a: int, b: int) -> bool:
         """Whether merging the text of the pair gives the pair: its merges are done again, each side's in its own
         order and the better side first, until one across the boundary is better than both sides' next."""
-        if len(self.pairs) > 2 * MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         (_, left), (ok, right) = self._steps(a), self._steps(b)
         x, y = self.pieces[a][-1], self.pieces[b][0]
@@ -172,11 +176,15 @@ class MergeCodec:
 
     def ids(self, chunks: list[list[str]]) -> list[bytes]:
         """Ids, without begin and end, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:  # the last call's chunks were needed until now, for decoding
             self.memo.clear()
+            self.tails.clear()
             self.changed.clear()
+            self.held = 0
         memo, changed = self.memo, self.changed
-        for c in set(chain.from_iterable(chunks)).difference(memo):
+        new = set(chain.from_iterable(chunks)).difference(memo)
+        self.held += 2 * (ENTRY * len(new) + 5 * sum(map(len, new)))  # stems are remembered too
+        for c in new:
             memo[c] = ids = self._known(c)
             if self.decode(np.frombuffer(ids, "<u4").tolist()) != c:
                 changed[c] = self.decode(np.frombuffer(ids, "<u4").tolist())
@@ -191,8 +199,6 @@ class MergeCodec:
             tail = chunk[len(stem) :]
             if (more := self.tails.get(tail)) is None:
                 more = self.tails[tail] = pack(self._chunk(tail))
-                if len(self.tails) > MEMO:
-                    self.tails = {tail: more}
             return ids + more
         return pack(self._chunk(MARK + (chunk.replace(" ", MARK) if " " in chunk else chunk)))
 
@@ -243,9 +249,15 @@ def utf8_text(raw: bytes) -> str:
     return "".join(out)
 
 
+@lru_cache(2)
+def codec_of(path: str) -> MergeCodec:
+    """One for all tasks of a worker."""
+    return MergeCodec(path)
+
+
 def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, schema: str, of: Callable[[MergeCodec, list[bytes], list[list[str]]], list[list]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = MergeCodec(path)
+        codec = codec_of(path)
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         names, types = zip(*(c.split() for c in schema.split(", ")))
         for batch in batches:
@@ -257,7 +269,7 @@ def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, schema: str,
                 ids = [begin + i + end for i in codec.ids(chunks)]
                 yield pa.record_batch([keys.slice(a, b - a), *(pa.array(v, kinds[t]) for v, t in zip(of(codec, ids, chunks), types))], ["id", *names])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, {schema}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id long, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ equal token counts.
 Documents are packed where they are read: no shuffle, no key, memory bounded by one block, and a
 repeated task depends on nothing but its own rows. Ids come from the tokenizers library. Text is cut
 at white space, where neither normalisation nor the pre-tokenizer's pattern nor a merge reaches
-across, and the ids of recent chunks are kept in a bounded memo.
+across, and the ids of recent chunks are kept in a memo of bounded bytes.
 
 Defined results: null and empty text have the end token alone; repeated rows and null ids are packed
 like others; an empty table gives an empty result; further columns are ignored.
@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm.common import row_blocks, strings, utf8
+from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 32768
-MEMO = 600_000
+MEMO_BYTES = 40 << 20  # of remembered chunks and parts, about, in one worker
+ENTRY = 220  # bytes of an entry besides its characters
 
 # ---------------------------------------------------------------- ids
 
@@ -66,22 +68,21 @@ class ChunkIds:
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
 
     def _part(self, part: str) -> bytes:
         if (out := self.parts.get(part)) is None:
             word = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
             out = self.parts[part] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            self.held += ENTRY + len(part) + len(out)
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
         memo, plain, parts, part = self.memo, self.PLAIN.fullmatch, self.PARTS.findall, self._part
         other = []
-        for chunk in set(chain.from_iterable(split)).difference(memo):
+        new = set(chain.from_iterable(split)).difference(memo)
+        for chunk in new:
             if plain(chunk):
                 memo[chunk] = b"".join(map(part, parts(chunk.lower())))
             else:
@@ -89,13 +90,25 @@ class ChunkIds:
         if other:
             for chunk, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
                 memo[chunk] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        out = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
+        self.held += ENTRY * len(new) + sum(map(len, new)) + sum(len(memo[c]) for c in new)
+        if self.held > MEMO_BYTES:
+            memo.clear()
+            self.parts.clear()
+            self.held = 0
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def batch_ids(encoder: ChunkIds, texts: pa.Array, end: int, block: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+@lru_cache(2)
+def chunk_ids(path: str) -> ChunkIds:
+    """One for all tasks of a worker."""
+    return ChunkIds(path)
+
+
+def batch_ids(encoder: ChunkIds, texts: pa.Array, end: int, block: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The first row and the ids, with ``end``, of blocks of rows."""
     raw, offsets = utf8(texts)
     texts, tail = strings(texts), np.array([end], "<u4").tobytes()
@@ -230,7 +243,7 @@ def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tier
     kinds = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = ChunkIds(path), TierPacker(tiers)
+        encoder, packer = chunk_ids(path), TierPacker(tiers)
         numbers = Numbering(TaskContext.get().partitionId(), step_tokens)
 
         def rows(windows: Iterator[tuple[int, list[Piece]]]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +265,7 @@ def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tier
                 yield from rows(packer.block(docs))
         yield from rows(packer.end())
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, {COLUMNS}, {extra}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id long, {COLUMNS}, {extra}").withColumnRenamed("id", id_col)
 
 
 def pack(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:

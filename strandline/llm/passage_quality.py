@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import is_held_out, row_blocks, utf8
+from strandline.llm.common import is_held_out, row_blocks, trimmed, utf8
 from strandline.llm.shingles import word_hashes, words
 
 PASSAGE = 512
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             bags = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
-    rows = sorted(bags.mapInArrow(run, "doc_id long, y double, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
+    rows = sorted(bags.mapInArrow(trimmed(run), "doc_id long, y double, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
     bag = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     first = np.cumsum([0, *map(len, bag)])[:-1]
     return fit(np.concatenate(bag).astype(np.float64) if bag else np.zeros((0, FEATURES)), first, np.array([r["y"] for r in rows]))
@@ -180,7 +180,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
             keys = batch.column("id")
             yield pa.record_batch([keys, pa.array(is_held_out(keys.to_pylist()), pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], ["id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -191,4 +191,4 @@ def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import row_blocks, strings, utf8
+from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 Query = tuple  # ("all",), ("tri", int), ("and", queries) or ("or", queries)
 
@@ -250,7 +250,7 @@ def _over(df: DataFrame, f: Callable[[pa.RecordBatch, list[list[Span]]], pa.Reco
         for batch in batches:
             yield f(batch, spans_of_batch(batch.column(text), rules, tables))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -307,4 +307,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(trimmed(run), fields)

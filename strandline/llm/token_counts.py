@@ -9,7 +9,7 @@ an overlap has no such token it is doubled, at worst until the two chunks are on
 
 Shorter documents are cut before each run of spaces. If no entry of the vocabulary holds a space
 after another character (this is checked when the model is loaded), no merge reaches across, so
-those boundaries are stable too, and the counts of recent chunks are kept in a bounded memo. Without
+those boundaries are stable too, and the counts of recent chunks are kept in a memo of bounded bytes. Without
 that property such documents are encoded whole. Everything is done where the rows are read: no
 shuffle, and memory bounded by a block of rows or one document.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm.common import row_blocks, strings, utf8
+from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 LONG = 16_384  # characters from which a document is encoded in overlapping chunks
 CHUNK = 4_096
 OVERLAP = 128
-MEMO = 400_000
+MEMO_BYTES = 40 << 20  # of remembered chunks, about, in one worker
+ENTRY = 190  # bytes of an entry besides its characters
 MARK = "▁"  # stands for a space
 RUN = re.compile(r" +[^ ]*")
 
@@ -51,7 +53,7 @@ class PieceCounter:
         self.sizes = np.array([1 if sp.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], np.int64)
         self.stable = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.memo: dict[str, int] = {"": 1}
-        self.widened = 0
+        self.held = self.widened = 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text), np.int64)
@@ -109,12 +111,14 @@ class PieceCounter:
                 short.append([run[1:] for run in RUN.findall(f" {t}")])
             else:
                 short.append(t.split(" ") if t else [])
-        if len(self.memo) > MEMO:
-            self.memo = {"": 1}
         memo = self.memo
         new = list(set(chain.from_iterable(short)).difference(memo))
         memo.update(zip(new, map(len, self.library.encode(new, num_threads=1))))
-        return [sum(map(memo.__getitem__, s)) if s or not t else len(self.spliced(t) if len(t) > self.long else self.ids(t)) for s, t in zip(short, texts)]
+        out = [sum(map(memo.__getitem__, s)) if s or not t else len(self.spliced(t) if len(t) > self.long else self.ids(t)) for s, t in zip(short, texts)]
+        self.held += ENTRY * len(new) + sum(map(len, new))
+        if self.held > MEMO_BYTES:
+            self.memo, self.held = {"": 1}, 0
+        return out
 
 
 class LibraryCounter:
@@ -129,15 +133,21 @@ class LibraryCounter:
         return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(2)
+def counter_of(path: str) -> PieceCounter | LibraryCounter:
+    """One for all tasks of a worker."""
+    return PieceCounter(path) if path.endswith(".model") else LibraryCounter(path)
+
+
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Per row: id, n_bytes, n_tokens and whether these are over ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path) if path.endswith(".model") else LibraryCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
             texts = strings(batch.column("text"))
             n = [x for a, b in row_blocks(offsets, 1 << 21) for x in counter.texts(texts.slice(a, b - a).to_pylist())]
             yield pa.record_batch([batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
