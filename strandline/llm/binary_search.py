@@ -14,7 +14,7 @@ pair of blocks is a task with its own index, and the k best of all blocks are ke
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and null ids, take
 no part; codes of different lengths are never compared; equal distances are ranked by the smaller
-vec_id; a row is no answer to itself; repeated rows with one id are one row; with fewer than k others
+vec_id; a row is no answer to itself; of repeated rows with one id the smallest vector takes part; with fewer than k others
 all are given; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -95,7 +95,7 @@ def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: st
                 codes.append(bits + bytes(-len(bits) % (SEGMENT // 8)))
             yield pa.record_batch([batch.column("vec_id"), pa.array(codes, pa.binary()), batch.column("size")], ["vec_id", "code", "size"])
 
-    rows = usable(df, id_col, vec_col).withColumn("size", F.size("vec")).dropDuplicates(["vec_id"])
+    rows = usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("size", F.size("vec"))
     coded = materialise(spark, rows.mapInArrow(encode, "vec_id long, code binary, size int"))
     of_code = Window.partitionBy("size", "code").orderBy("vec_id")
     entries = coded.withColumn("n", F.row_number().over(of_code)).where(F.col("n") <= k + 1).groupBy("size", "code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))

@@ -13,7 +13,7 @@ per query. Statistics that reach the driver are the sample and one count per par
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and null ids, take
 no part, nor do vectors whose length is not the one most frequent in the sample; equal scores are
-ranked by the smaller vec_id; repeated rows with one id are one candidate; with fewer than k candidates
+ranked by the smaller vec_id; of repeated rows with one id the smallest vector takes part; with fewer than k candidates
 all are given; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -155,7 +155,7 @@ def nearest_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: n
 
 def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows for which ``is_query``, SQL over vec_id, holds."""
-    rows = usable(df, id_col, vec_col)
+    rows = materialise(spark, usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     every = max(1, -(-rows.count() // SAMPLE))
     sample = [r["vec"] for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy("vec_id").select("vec").collect()]
     size = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
@@ -172,7 +172,7 @@ def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: st
             order = pa.array(np.argsort(-z, 1, kind="stable").tolist(), pa.list_(pa.int32()))
             yield pa.record_batch([batch.column("vec_id"), batch.column("vec"), order], ["vec_id", "vec", "parts"])
 
-    placed = materialise(spark, rows.where(F.size("vec") == size).dropDuplicates(["vec_id"]).mapInArrow(place, "vec_id long, vec array<double>, parts array<int>"))
+    placed = materialise(spark, rows.where(F.size("vec") == size).mapInArrow(place, "vec_id long, vec array<double>, parts array<int>"))
     dealt = placed.select("vec_id", "vec", F.explode(F.slice("parts", 1, PLACES)).alias("part"))
     counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = [max(1, -(-counts.get(p, 0) // BLOCK)) for p in range(parts)]

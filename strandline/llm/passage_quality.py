@@ -139,12 +139,14 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled rows that are not held out, about ``sample`` of them at most, and on whole texts.
 
-    Rows are taken in the order of a hash of their id until ``SAMPLE_PASSAGES`` passages are reached, one id at least."""
+    Rows are taken in the order of a hash of their id until ``SAMPLE_PASSAGES`` passages are reached, one id at least.
+    Labels of one id that differ count as their mean; of rows with one id that whose text has the smallest hash is taken."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     parts = max(1, -(-labels.count() // sample))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).dropDuplicates(["doc_id"])  # of bounded size
-    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).groupBy("doc_id").agg(F.avg("y").alias("y"))  # of bounded size
+    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    bags = bags.groupBy("doc_id", "y").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("row")).select("doc_id", "row.text", "y")
     passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
     sizes = bags.groupBy(F.xxhash64("doc_id").alias("h")).agg(F.sum(passages).alias("n")).orderBy("h").collect()
     taken = max(1, int(np.searchsorted(np.cumsum([int(r["n"]) for r in sizes]), SAMPLE_PASSAGES, "right")))
@@ -154,8 +156,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
-            x, first = encode(raw, offsets)
-            bags = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
+            bags = []
+            for a, b in row_blocks(offsets, BLOCK):
+                x, first = encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                bags += [x[i:j].tobytes() for i, j in zip(first, first[1:])]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
 
     rows = sorted(bags.mapInArrow(trimmed(run), "doc_id long, y double, bag binary").collect(), key=lambda r: (r["doc_id"], r["bag"]))
@@ -184,8 +188,13 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    shared = spark.sparkContext.broadcast(learn(docs, labels))
+    """The rows of ``docs``, all columns, that score ``threshold`` or more; all of them, if no labelled row or labels of one
+    kind only are there to learn from. Null and empty text are scored as an empty passage; repeated rows and null
+    ids are scored one by one."""
+    model = learn(docs, labels)
+    if model.constant is not None:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

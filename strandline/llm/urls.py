@@ -55,6 +55,7 @@ class DigestArray:
         load = lambda part: np.load(os.path.join(folder, f"{name}-{part}.npy"), mmap_mode="r")
         self.keys, self.actions, self.bounds, self.text = (load(x) for x in ("keys", "actions", "bounds", "text"))
         self.lengths = [int(x) for x in load("lengths")]
+        self.longest_host = int(load("hosts").max(initial=0))
 
     def stored(self, i: int) -> str:
         return self.text[self.bounds[i] : self.bounds[i + 1]].tobytes().decode()
@@ -85,6 +86,7 @@ def write_digests(rules: list[tuple[str, str]], folder: str) -> str:
         "actions": np.array([a for _, _, a in rows], np.uint8),
         "bounds": np.cumsum([0, *map(len, raw)]).astype(np.int64),
         "text": np.frombuffer(b"".join(raw), np.uint8),
+        "hosts": np.array([len(r.partition("/")[0]) for r in unique], np.int64),
         "lengths": np.array(sorted({len(r) - r.index("/") if "/" in r else 0 for r in unique}), np.int64),
     }
     name = "rules-" + hashlib.sha256(repr(rows).encode()).hexdigest()[:16]
@@ -93,6 +95,16 @@ def write_digests(rules: list[tuple[str, str]], folder: str) -> str:
     return name
 
 
+def suffixes(host: str, most: int) -> list[str]:
+    """The host and its parent domains, of ``most`` characters at most: no rule's host is longer."""
+    out = [host] if len(host) <= most else []
+    at = host.find(".", max(0, len(host) - most - 1))
+    while at >= 0:
+        out.append(host[at + 1 :])
+        at = host.find(".", at + 1)
+    return out
+
+
 def judge(urls: list[str | None], array: DigestArray, default: str) -> list[tuple[str, str, str | None, str]]:
     """(host, path, rule, verdict) of every url."""
     split = [split_url(u) for u in urls]
@@ -101,11 +113,11 @@ def judge(urls: list[str | None], array: DigestArray, default: str) -> list[tupl
     for i, (host, path) in enumerate(split):
         if not host:
             continue
-        labels = host.split(".")
+        hosts = suffixes(host, array.longest_host)
         for n in array.lengths:
             if n <= len(path):
-                owner += [i] * len(labels)
-                probes += [".".join(labels[k:]) + path[:n] for k in range(len(labels))]
+                owner += [i] * len(hosts)
+                probes += [h + path[:n] for h in hosts]
     best: dict[int, int] = {}
     for i, p, k in zip(owner, probes, array.probe(probes)):
         if k >= 0 and (i not in best or len(p) > len(array.stored(best[i]))):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from strandline.llm import binary_search, components, jaccard_join, language_mixture, learned_partitions, passage_quality, shingles
+from strandline.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string"
@@ -242,7 +243,7 @@ def test_pipeline_stages(spark):
     spark.sparkContext.environment["PYTHONPATH"] = entry.HERE
     seen = docs.toPandas()
     for name, stage in corpus_pipeline.STAGES[:4]:
-        docs = corpus_pipeline.materialise(spark, stage(spark, docs, SF))
+        docs = materialise(spark, stage(spark, docs, SF))
         assert docs.columns == columns
         now = docs.toPandas()
         assert set(now.doc_id) <= set(seen.doc_id)
