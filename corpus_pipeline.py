@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives the rows it keeps, with the columns of documents; the
-last gives packed pieces. Models are fitted on the rows a stage gets. A stage's rows are written to the
+last gives packed pieces. Empty tables give empty results, and repeated rows and rows with null ids are taken
+one by one, but for near duplicates, of which those with a null id all stay. Models are fitted on the rows a stage gets. A stage's rows are written to the
 folder in spark.checkpoint.dir and read again as the next one's docs.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import jaccard_join, language_mixture, packing, passage_quality, secrets
-from strandline.llm.common import materialise, table
+from strandline.llm.common import Scratch, table
 from strandline.llm.registry import WORD_MODEL
 
 
@@ -22,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones; all, where labels give it nothing to learn from."""
     return passage_quality.good_documents(spark, docs, table(spark, sf_dir, "labels"))
 
 
@@ -54,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES:
-        docs = materialise(spark, stage(spark, docs, sf_dir))
+        last, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(last)  # its only reader has been written
     return docs
