@@ -107,6 +107,12 @@ def further_orders(h: np.ndarray) -> list[np.ndarray]:
     return [mix(h ^ SEEDS[2]), mix(h + SEEDS[2])]
 
 
+def further_prefixes(s: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The prefixes of a set in the two further orders, each sorted."""
+    p = prefix_length(len(s), percent)
+    return [np.sort(np.partition(o, p - 1)[:p]) for o in further_orders(s)]
+
+
 def prefix_length(size: int, percent: int) -> int:
     return size - (percent * size + 99) // 100 + 1
 
@@ -114,8 +120,7 @@ def prefix_length(size: int, percent: int) -> int:
 def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """A row per document: doc_id, key (a hash of the text), size n and the class.
 
-    The first row of a class in a task also has its profile and its prefixes: in the first order, split
-    by ``HOT``, and in the two others as 32 bits of each hash, which can only add candidates."""
+    The first row of a class in a task also has its profile and its prefix in the first order, split by ``HOT``."""
     levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +132,16 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                 flat = np.concatenate(sets)
                 rare = level[_counter(flat)]
                 first = (rare.astype(np.uint64) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
-                others = further_orders(flat)
                 cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (mix(flat ^ SEEDS[0]) % np.uint64(CELLS)).astype(np.int64)
                 profiles = np.bincount(cell, minlength=len(sets) * CELLS).astype(np.uint8).reshape(-1, CELLS)
                 own: list = []
-                cold, hot, p2, p3 = [], [], [], []
+                cold, hot = [], []
                 stop = 0
                 for i, (name, size) in enumerate(zip(raw, sizes)):
                     start, stop = stop, stop + size
                     if not size or name in seen:
                         own.append(None)
-                        for out in (cold, hot, p2, p3):
+                        for out in (cold, hot):
                             out.append(flat[:0])
                         continue
                     if len(seen) < SEEN:
@@ -148,18 +152,15 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                     often = rare[at1] >= HOT
                     cold.append(flat[at1[~often]])
                     hot.append(flat[at1[often]])
-                    for o, out in zip(others, (p2, p3)):
-                        out.append(np.partition(o[start:stop], p - 1)[:p] >> np.uint64(32))
                 keys = [batch.column(c).slice(at, len(sets)) for c in ("doc_id", "key")]
-                lists = [_lists(x, u, i) for x, u, i in ((cold, "u8", "i8"), (hot, "u8", "i8"), (p2, "u4", "i4"), (p3, "u4", "i4"))]
-                yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), *lists], ["doc_id", "key", "n", "class", "profile", "cold", "hot", "p2", "p3"])
+                yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), _lists(cold), _lists(hot)], ["doc_id", "key", "n", "class", "profile", "cold", "hot"])
 
-    return docs.mapInArrow(trimmed(sign), "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(trimmed(sign), "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>")
 
 
-def _lists(rows: list[np.ndarray], unsigned: str, signed: str) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(unsigned).view(signed)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype("u8").view("i8")))
 
 
 def _raw(column: pa.Array, width: int) -> np.ndarray:
@@ -462,7 +463,7 @@ class Join:
         return self.own.select("class", *columns).join(self._small(wanted, rows), "class").dropDuplicates(["class"])
 
     def _candidates(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose profiles allow the similarity and that share prefix shingles in the further orders too."""
+        """The pairs (a, b) whose profiles allow the similarity."""
         percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,11 +472,7 @@ class Join:
                 apart = _apart(*(_raw(batch.column(f"profile_{c}"), CELLS) for c in "ab"))
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(apart <= most_different(*size, percent)))
 
-        near = self.scratch.write(self._with(pairs, "profile").mapInArrow(trimmed(compare), "a binary, b binary"))
-        shared = self._with(near, "p2", "p3").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
-        out = self.scratch.write(shared.select("a", "b"))
-        self.scratch.drop(near)
-        return out
+        return self.scratch.write(self._with(pairs, "profile").mapInArrow(trimmed(compare), "a binary, b binary"))
 
     def _with(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """The pairs with the columns of both classes."""
@@ -502,27 +499,28 @@ class Join:
         return texts.mapInArrow(once, texts.schema)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets have the similarity.
+        """The pairs that share prefix shingles in both further orders and whose whole sets have the similarity.
 
-        Texts are read again. Up to ``FAN`` pairs of one a meet in one piece: its text comes first, then those of the b."""
+        Texts are read again, as prefixes of all documents would take more room than the texts of few. Up to ``FAN`` pairs of one a meet in one piece: its text comes first, then those of the b."""
         n, percent, rows = self.n, self.percent, pairs.count()
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("pieces"))
         of_b = pairs.join(fan, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
         of_a = fan.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         asked = self.scratch.write(of_a.unionByName(of_b))
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, own, of_own = WordHashes(), None, None
+            hashes, own, of_own, prefixes = WordHashes(), None, None, []
             for batch in batches:
                 a, name, keep = batch.column("a").to_pylist(), batch.column("class").to_pylist(), []
                 for at, sets in sets_of(batch.column("text"), n, hashes):
                     for i, s in enumerate(sets, at):
                         if name[i] == a[i]:
-                            own, of_own = s, a[i]
+                            own, of_own, prefixes = s, a[i], further_prefixes(s, percent)
                             keep.append(False)
                             continue
                         if of_own != a[i]:
                             raise ValueError("a pair without its first text")
-                        both = _shared(own, s)
+                        candidate = all(_shared(x, y) for x, y in zip(prefixes, further_prefixes(s, percent)))
+                        both = _shared(own, s) if candidate else 0
                         keep.append(100 * both >= percent * (len(own) + len(s) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("class")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
