@@ -33,6 +33,7 @@ from strandline.llm.vectors import best_of_blocks, usable
 
 SEGMENT = 16
 BLOCK, QUERIES = 16_384, 1024
+MOST_TASKS = 50_000
 _MASKS: dict[int, np.ndarray] = {}
 
 
@@ -47,37 +48,51 @@ class MultiIndex:
     """Indexes over distinct codes, given as rows of segment values."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
+        self.words = _words(codes)
+        self.shape = codes.shape
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         self.starts = [np.searchsorted(c[o], np.arange((1 << SEGMENT) + 1)) for c, o in zip(codes.T, self.order)]
 
+    def _within(self, segment: int, values: np.ndarray) -> np.ndarray:
+        """The codes that have one of the values in the segment."""
+        low = self.starts[segment][values]
+        size = self.starts[segment][values + 1] - low
+        low, size = low[size > 0], size[size > 0]
+        run = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        return self.order[segment][run]
+
     def nearest(self, code: np.ndarray, weight: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes and their distances: all within the distance at which their weights first add up to ``enough``."""
-        n, m = self.codes.shape
-        seen = np.zeros(n, bool)
-        at, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, m = self.shape
+        word, seen = _words(code[None])[0], np.zeros(n, bool)
+        at, far, within = [], [], np.zeros(SEGMENT * m + 1)
+        n_seen = 0
         for radius in range(SEGMENT + 1):
             for s in range(m):
                 probes = masks(radius)
                 if len(probes) * (m - s) > n:
                     new = np.flatnonzero(~seen)
                 else:
-                    value = probes ^ code[s]
-                    low, high = self.starts[s][value], self.starts[s][value + 1]
-                    some = np.flatnonzero(high > low)
-                    new = np.concatenate([np.zeros(0, np.int64), *(self.order[s][low[i] : high[i]] for i in some)])
+                    new = self._within(s, probes ^ code[s])
                     new = new[~seen[new]]
                 seen[new] = True
-                at = np.append(at, new)
-                far = np.append(far, np.bitwise_count(self.codes[new] ^ code).sum(1, dtype=np.int64))
-                covered = m * radius + s
-                if len(at) == n or weight[at[far <= covered]].sum() >= enough:
-                    order = np.argsort(far, kind="stable")
-                    reach = np.searchsorted(np.cumsum(weight[at[order]]), enough)
-                    most = far[order[min(reach, len(order) - 1)]] if len(order) else -1
-                    keep = far <= most
-                    return at[keep], far[keep]
-        return at, far
+                distance = np.bitwise_count(self.words[new] ^ word).sum(1, dtype=np.int64)
+                at.append(new)
+                far.append(distance)
+                within += np.bincount(distance, weight[new], len(within))
+                n_seen += len(new)
+                if n_seen == n or within[: m * radius + s + 1].sum() >= enough:
+                    found, d = np.concatenate(at), np.concatenate(far)
+                    keep = d <= np.searchsorted(np.cumsum(within), enough)
+                    return found[keep], d[keep]
+        return np.concatenate(at), np.concatenate(far)
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """The same bits, 64 in a word."""
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 4) * 4), "<u2")
+    padded[:, : codes.shape[1]] = codes
+    return padded.view("<u8")
 
 
 def _segments(codes: list[bytes]) -> np.ndarray:
@@ -119,5 +134,6 @@ def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: st
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "distance"), cols, (pa.int64(), pa.int64(), pa.int32()))})
 
     keys = ["size", "block", "q_block"]
-    found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, distance int")
+    by_task = lambda rows: rows.repartition(min(MOST_TASKS, blocks * q_blocks), *keys).groupBy(*keys)
+    found = by_task(asked).cogroup(by_task(dealt)).applyInArrow(answer, "query_id long, vec_id long, distance int")
     return best_of_blocks(found, k, ["distance"]).select("query_id", "rank", "vec_id", "distance")
