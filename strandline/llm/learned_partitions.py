@@ -4,17 +4,22 @@ On a bounded sample (``SAMPLE`` vectors at most, about, chosen by a hash of the
 nearest neighbours is built and cut into equal parts: recursive bisection at the median of the
 second eigenvector of its random walk, improved by exchanges across the cut. A small network learns,
 from each sampled vector, how its neighbours are spread over the parts. It then places every row of
-the table in its ``PLACES`` most probable parts, and routes each query to its ``PROBES`` most probable parts (more
-while these have too few rows), whose rows are reranked exactly.
+the table in its most probable part, and routes each query to its most probable parts, until their
+probabilities add up to a mass (and further while these have too few rows), whose rows are reranked exactly.
 
-Parts are split into blocks of about ``BLOCK`` rows and queries into blocks of ``QUERIES``, by hashes
-of the ids, so a part that holds a third of all rows is many tasks. A block's answer is at most k rows
-per query. Statistics that reach the driver are the sample and one count per part.
+The mass is the least with which the vectors of a part of the sample, left out of the fit, reach ``RECALL`` of
+their neighbours in the sample: where neighbours gather in few parts, few are probed. Neighbours within
+the whole table are nearer, so recall there is somewhat higher.
+
+Vectors whose length is not the one most frequent in the sample make a part for each length, which only the
+queries of that length go to: they are searched exactly. Parts travel in groups of ``GROUP``, so that a query is
+sent once for a group; groups are split into blocks of about ``BLOCK`` rows and queries into blocks of ``QUERIES``,
+by hashes of the ids, so a part that holds a third of all rows is many tasks. A block's answer is at most k rows per query. The sample and one count per part reach the driver.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and null ids, take
-no part, nor do vectors whose length is not the one most frequent in the sample; equal scores are
-ranked by the smaller vec_id; of repeated rows with one id the smallest vector takes part; with fewer than k candidates
-all are given; an empty table gives an empty result; other columns are ignored.
+no part; only vectors of one length are compared; equal scores are ranked by the smaller vec_id; of repeated
+rows with one id the smallest vector takes part; with fewer than k candidates all are given; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialise
 from strandline.llm.vectors import best_of_blocks, usable
 
-SAMPLE = 4096
+SAMPLE = 8192
 NEIGHBOURS = 10
-PARTS = 16
-PLACES = 2
-PROBES = 10
-HIDDEN, STEPS, RATE = 48, 150, 0.01
-BLOCK, QUERIES = 8192, 2048
+PARTS, LEAST_PART, GROUP = 256, 2 * NEIGHBOURS, 16
+RECALL = 0.92
+HIDDEN, ROUNDS, BATCH, RATE = 64, 20, 512, 0.01
+BLOCK, QUERIES, AT_ONCE = 8192, 8192, 256
+MOST_TASKS = 50_000
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -106,110 +112,167 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
 
 def learn_router(x: np.ndarray, near: np.ndarray, part: np.ndarray, parts: int, seed: int = 5) -> Router:
-    """Fit the network to the spread of each vector and its neighbours over the parts."""
+    """Fit the network to the spread of each vector and its neighbours (places in ``part``) over the parts."""
     rng = np.random.default_rng(seed)
-    target = np.zeros((len(x), parts))
-    for column in [part, *(part[near].T if near.size else ())]:
-        target[np.arange(len(x)), column] += 1
-    target /= target.sum(1, keepdims=True)
+    spread = np.column_stack([part[: len(x)], *(part[near].T if near.size else ())])
     w = [rng.normal(0, x.shape[1] ** -0.5 * 2, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)), np.zeros(parts)]
     m, s = [0 * v for v in w], [0 * v for v in w]
-    for t in range(1, STEPS + 1):
-        pre = x @ w[0] + w[1]
+    every = -(-len(x) // BATCH)
+    for t in range(1, ROUNDS * every + 1):
+        if (t - 1) % every == 0:
+            order = rng.permutation(len(x))
+        rows = order[(t - 1) % every * BATCH :][:BATCH]
+        target = np.zeros((len(rows), parts))
+        np.add.at(target, (np.arange(len(rows))[:, None], spread[rows]), 1 / spread.shape[1])
+        pre = x[rows] @ w[0] + w[1]
         h = np.maximum(pre, 0)
-        z = h @ w[2] + w[3]
-        p = np.exp(z - z.max(1, keepdims=True))
-        dz = (p / p.sum(1, keepdims=True) - target) / len(x)
+        dz = (Router(*w).probabilities(x[rows]) - target) / len(rows)
         dh = (dz @ w[2].T) * (pre > 0)
-        for i, g in enumerate((x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(0))):
+        rate = RATE * (1 - t / (ROUNDS * every + 1))
+        for i, g in enumerate((x[rows].T @ dh, dh.sum(0), h.T @ dz, dz.sum(0))):
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
-            w[i] = w[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
+            w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)
     return Router(*w)
 
 
+def needed_mass(router: Router, asked: np.ndarray, near: np.ndarray, part: np.ndarray, recall: float) -> float:
+    """The least mass of probed parts with which ``recall`` of all neighbours ``near`` of ``asked`` lie in them.
+
+    A neighbour is found if the parts before its own, from the most probable down, have less than that mass."""
+    if not near.size:
+        return 1.0
+    p = router.probabilities(asked)
+    order = np.argsort(-p, 1, kind="stable")
+    before = np.zeros_like(p)
+    np.put_along_axis(before, order, np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1), 1)
+    mass = np.take_along_axis(before, part[near], 1).ravel()
+    return float(np.nextafter(np.sort(mass)[min(len(mass) - 1, int(np.ceil(recall * len(mass))) - 1)], 2))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, cosine) of the k nearest rows of a block; equal vectors have equal scores."""
-    out = []
+def nearest_in_block(ids: np.ndarray, x: np.ndarray, part: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], k: int) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, cosine) of the k nearest rows of a block within each query's parts; equal vectors have equal scores."""
+    order = np.argsort(part, kind="stable")
+    ids, x = ids[order], x[order]
+    parts, starts = np.unique(part[order], return_index=True)
     norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    rough = (q / q_norm[:, None]) @ (x / norm[:, None]).T
-    for i, own in enumerate(query_ids):
-        near = np.where(ids == own, -np.inf, rough[i])
-        least = np.partition(near, -k)[-k] if len(near) > k else -np.inf
-        at = np.flatnonzero((near >= least - 1e-9) & (near > -np.inf))
-        exact = (x[at] * q[i]).sum(1) / (norm[at] * q_norm[i])
-        best = np.lexsort((ids[at], -exact))[:k]
-        out += [(int(own), int(ids[at[j]]), float(exact[j])) for j in best]
+    unit, out = (x / norm[:, None]).T, []
+    for a in range(0, len(q), AT_ONCE):
+        some = q[a : a + AT_ONCE] / q_norm[a : a + AT_ONCE, None]
+        wanted = np.array([np.isin(parts, p) for p in probed[a : a + AT_ONCE]])
+        rough = np.full((len(some), len(ids)), -np.inf)
+        for asked, start, stop in zip(wanted.T, starts, [*starts[1:], len(ids)]):
+            rough[asked, start:stop] = some[asked] @ unit[:, start:stop]
+        for i, own in enumerate(query_ids[a : a + AT_ONCE]):
+            near = rough[i]
+            near[ids == own] = -np.inf
+            least = np.partition(near, -k)[-k] if len(near) > k else -np.inf
+            at = np.flatnonzero((near >= least - 1e-9) & (near > -np.inf))
+            exact = (x[at] * q[a + i]).sum(1) / (norm[at] * q_norm[a + i])
+            best = np.lexsort((ids[at], -exact))[:k]
+            out += [(int(own), int(ids[at[j]]), float(exact[j])) for j in best]
     return out
 
 
-def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows for which ``is_query``, SQL over vec_id, holds."""
-    rows = materialise(spark, usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    every = max(1, -(-rows.count() // SAMPLE))
-    sample = [r["vec"] for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy("vec_id").select("vec").collect()]
-    size = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
-    x = np.array([v for v in sample if len(v) == size] or [[1.0] * size])
+def fit(vectors: list[list[float]], recall: float, parts: int) -> tuple[int, Router, float]:
+    """The length of the vectors fitted, the router over them and the mass of parts to probe."""
+    size = Counter(map(len, vectors)).most_common(1)[0][0] if vectors else 1
+    x = np.array([v for v in vectors if len(v) == size] or [[1.0] * size])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    parts = max(1, min(parts, len(x) // (2 * NEIGHBOURS)))
+    parts = max(1, min(parts, len(x) // LEAST_PART))
     near = neighbour_graph(x, NEIGHBOURS)
-    router = spark.sparkContext.broadcast(learn_router(x, near, balanced_parts(near, parts), parts))
+    part = balanced_parts(near, parts)
+    kept = len(x) - len(x) // 8
+    router = learn_router(x[:kept], near[:kept], part, parts)
+    placed = np.argmax(router.probabilities(x), 1)
+    return size, router, needed_mass(router, x[kept:], near[kept:], placed, recall)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _matrix(batch.column("vec"))
-            z = router.value.scores(v / np.linalg.norm(v, axis=1, keepdims=True)) if len(v) else np.zeros((0, 1))
-            order = pa.array(np.argsort(-z, 1, kind="stable").tolist(), pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("vec_id"), batch.column("vec"), order], ["vec_id", "vec", "parts"])
-
-    placed = materialise(spark, rows.where(F.size("vec") == size).mapInArrow(place, "vec_id long, vec array<double>, parts array<int>"))
-    dealt = placed.select("vec_id", "vec", F.explode(F.slice("parts", 1, PLACES)).alias("part"))
-    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = [max(1, -(-counts.get(p, 0) // BLOCK)) for p in range(parts)]
-    n_blocks = F.array(*map(F.lit, blocks))
-    queries = placed.where(is_query)
-    q_blocks = max(1, -(-queries.count() * min(probes, parts) // (parts * QUERIES)))
-    routed = queries.mapInArrow(_routes(counts, probes, k), "query_id long, q array<double>, part int")
-    routed = routed.select("query_id", "q", "part", F.explode(F.sequence(F.lit(0), F.get(n_blocks, F.col("part")) - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"))
-    dealt = dealt.select("vec_id", "vec", "part", F.pmod(F.xxhash64("vec_id"), F.get(n_blocks, F.col("part"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q_block"))
+
+def search(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows for which ``is_query``, SQL over vec_id, holds."""
+    placed, routed = placed_and_routed(spark, df, is_query, k, id_col, vec_col, parts, recall)
+    blocks = materialise(spark, placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    q_blocks = max(1, -(-placed.where(is_query).count() // QUERIES))
+    groups = (blocks.agg(F.sum("blocks")).first()[0] or 1) * q_blocks
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = routed.join(blocks, "grp").select("query_id", "q", "probed", "grp", up_to(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_block"))
+    dealt = placed.join(blocks, "grp").select("vec_id", "vec", "part", "grp", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), up_to(F.lit(q_blocks).cast("long")).alias("q_block"))
 
     def rerank(q: pa.Table, v: pa.Table) -> pa.Table:
         found = []
         if q.num_rows and v.num_rows:
             one = lambda t, c: t.column(c).combine_chunks()
-            found = nearest_in_block(one(v, "vec_id").to_numpy(), _matrix(one(v, "vec")), one(q, "query_id").to_numpy(), _matrix(one(q, "q")), k)
+            probed = [np.array(p) for p in q.column("probed").to_pylist()]
+            found = nearest_in_block(one(v, "vec_id").to_numpy(), _matrix(one(v, "vec")), one(v, "part").to_numpy(), one(q, "query_id").to_numpy(), _matrix(one(q, "q")), probed, k)
         cols = zip(*found) if found else ((), (), ())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()))})
 
-    keys = ["part", "block", "q_block"]
-    found = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a row's places give one score
+    keys = ["grp", "block", "q_block"]
+    by_task = lambda rows: rows.repartition(min(MOST_TASKS, groups), *keys).groupBy(*keys)
+    found = by_task(asked).cogroup(by_task(dealt)).applyInArrow(rerank, "query_id long, vec_id long, score double")
     return best_of_blocks(found, k, [F.desc("score")]).select("query_id", "rank", "vec_id", "score")
 
 
-def _routes(counts: dict[int, int], probes: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def placed_and_routed(spark: SparkSession, df: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Every row (vec_id, vec, part, grp), and every query (query_id, q, grp, probed): once for each group of parts with parts that it probes."""
+    rows = materialise(spark, usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("vec").alias("vec")))
+    every = max(1, -(-rows.count() // SAMPLE))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")
+    size, router, mass = fit([r["vec"] for r in sample.select("vec").collect()], recall, parts)
+    model = spark.sparkContext.broadcast(router)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column("vec")
+            lengths = pc.list_value_length(vec).to_numpy()
+            part, fitted = -lengths.astype(np.int32), lengths == size
+            if fitted.any():
+                part[fitted] = np.argmax(_probabilities(model.value, vec.filter(pa.array(fitted))), 1)
+            grp = np.where(part < 0, part, part // GROUP).astype(np.int32)
+            yield pa.record_batch([batch.column("vec_id"), vec, pa.array(part), pa.array(grp)], ["vec_id", "vec", "part", "grp"])
+
+    placed = materialise(spark, rows.mapInArrow(place, "vec_id long, vec array<double>, part int, grp int"))
+    counts = {r["part"]: r["n"] for r in placed.where("part >= 0").groupBy("part").agg(F.count("*").alias("n")).collect()}
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, part = [], []
-            for i, order in enumerate(batch.column("parts").to_pylist()):
-                seen = 0
-                for n, p in enumerate(order):
-                    if n >= probes and seen > PLACES * k:
-                        break
-                    seen += counts.get(p, 0)
-                    rows.append(i)
-                    part.append(p)
-            at = pa.array(rows, pa.int64())
-            yield pa.record_batch([batch.column("vec_id").take(at), batch.column("vec").take(at), pa.array(part, pa.int32())], ["query_id", "q", "part"])
-
-    return run
+            vec, own = batch.column("vec"), batch.column("part").to_numpy()
+            at, grp, probed = list(np.flatnonzero(own < 0)), list(own[own < 0]), [[p] for p in own[own < 0]]
+            fitted = np.flatnonzero(own >= 0)
+            if len(fitted):
+                for i, chosen in zip(fitted, probed_parts(_probabilities(model.value, vec.take(pa.array(fitted))), counts, mass, k)):
+                    for g in np.unique(chosen // GROUP):
+                        at.append(i)
+                        grp.append(g)
+                        probed.append(chosen[chosen // GROUP == g])
+            taken = pa.array(np.array(at, np.int64))
+            yield pa.record_batch([batch.column("vec_id").take(taken), vec.take(taken), pa.array(grp, pa.int32()), pa.array(probed, pa.list_(pa.int32()))], ["query_id", "q", "grp", "probed"])
+
+    return placed, placed.where(is_query).mapInArrow(route, "query_id long, q array<double>, grp int, probed array<int>")
+
+
+def _probabilities(router: Router, vec: pa.Array) -> np.ndarray:
+    v = _matrix(vec)
+    return router.probabilities(v / np.linalg.norm(v, axis=1, keepdims=True))
+
+
+def probed_parts(p: np.ndarray, counts: dict[int, int], mass: float, k: int) -> Iterator[np.ndarray]:
+    """For each row of probabilities, its parts from the most probable down, until they have the mass and more than k rows."""
+    order = np.argsort(-p, 1, kind="stable")
+    ordered = np.take_along_axis(p, order, 1)
+    rows = np.array([counts.get(i, 0) for i in range(p.shape[1])])[order]
+    going_on = (np.cumsum(ordered, 1) - ordered < mass) | (np.cumsum(rows, 1) - rows <= k)
+    for parts, on, n in zip(order, going_on, rows):
+        yield parts[on & (n > 0)]

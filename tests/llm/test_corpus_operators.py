@@ -161,6 +161,35 @@ def test_neighbours_have_recall_and_exact_scores(spark):
     assert learned_partitions.search(spark, df.where("false"), "vec_id % 50 = 0", 5).count() == 0
 
 
+def test_routing_saves_comparisons_at_a_recall_of_nine_tenths(spark):
+    """On the isotropic vectors of the tables, and with far fewer parts probed where vectors are clustered."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    clustered = spark.createDataFrame([(k, (centres[k % 40] + 0.3 * rng.normal(size=32)).tolist()) for k in range(4000)], "vec_id long, embedding array<double>")
+    for df, most in ((spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 0.75), (clustered, 0.15)):
+        got = learned_partitions.search(spark, df, "vec_id % 50 = 0", 5).toPandas()
+        rows = df.toPandas()
+        ids, x = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = np.flatnonzero(ids % 50 == 0)
+        cos = x[q] @ x.T
+        cos[np.arange(len(q)), q] = -9
+        best = {int(ids[i]): set(ids[np.argsort(-c)[:5]].tolist()) for i, c in zip(q, cos)}
+        assert sum(v in best[k] for k, v in zip(got.query_id, got.vec_id)) >= 0.9 * 5 * len(q)
+        placed, routed = learned_partitions.placed_and_routed(spark, df, "vec_id % 50 = 0", 5)
+        sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+        work = sum(sizes.get(p, 0) for r in routed.collect() for p in r["probed"])
+        assert work <= most * len(q) * len(ids), work / len(q) / len(ids)
+
+
+def test_vectors_of_other_lengths_are_searched_exactly(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(300)] + [(1000 + 10 * k, [1.0, float(k)]) for k in range(8)]
+    got = learned_partitions.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", 3).toPandas()
+    assert got[got.query_id == 1000].vec_id.tolist() == [1010, 1020, 1030]
+    assert got[got.query_id == 1050].vec_id.tolist() == [1060, 1040, 1070]
+    assert (got[got.query_id < 1000].vec_id < 1000).all()
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(0).normal(size=(640, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
