@@ -7,11 +7,13 @@ versions; some versions are tombstones. Updates come from orders and belong to s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
-from strandline.operators import ingest, traverse
+from strandline.operators import ingest, traverse, workload
 from strandline.operators import versions as V
 from strandline.operators.traverse import bounded_bfs, closure, hop, shortest_distance
 from strandline.plans import social
@@ -363,6 +365,78 @@ def write_latency_percentiles(spark, sf_dir):
     return ingest.latency_summary(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("event_id") % 1000).cast("double").alias("ms")), "ms", "event_type")
 
 
+def _incremental(spark, sf_dir):
+    """Own-account, loan and repayment records made from customers and orders, as nodes and edges."""
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    own = customers.selectExpr("c_nationkey AS personId", "c_custkey AS accountId", "'2020-01-02' AS createTime", "c_mktsegment AS accountType", "'true' AS accountBlocked")
+    loan = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("personId"), F.col("o_orderkey").alias("loanId"), day.alias("createTime"), F.col("o_totalprice").cast("decimal(18,2)").alias("loanAmount"))
+    repay = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("loanId"), day.alias("createTime"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    parts = [workload.financial_writes(own, 4), workload.financial_writes(loan, 6), workload.financial_writes(repay, 14)]
+    return [p[0] for p in parts], [p[1] for p in parts]
+
+
+@_register("""SELECT 'PersonOwnAccount' AS relation, CAST(c_nationkey AS VARCHAR) AS src, CAST(c_custkey AS VARCHAR) AS dst, epoch_ms(TIMESTAMP '2020-01-02') AS at, CAST(NULL AS VARCHAR) AS amount FROM customer
+UNION ALL SELECT 'PersonApplyLoan', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'AccountRepayLoan', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders WHERE o_orderstatus = 'F'""")
+def incremental_edges(spark, sf_dir):
+    edges = reduce(DataFrame.unionByName, _incremental(spark, sf_dir)[1])
+    return edges.select("relation", "src", "dst", "at", F.coalesce(F.col("properties")["amount"], F.col("properties")["loanAmount"]).alias("amount"))
+
+
+@_register("""SELECT 'Account' AS kind, CAST(c_custkey AS VARCHAR) AS raw_id, c_mktsegment AS account_type, false AS stub FROM customer
+UNION ALL SELECT 'Loan', CAST(o_orderkey AS VARCHAR), NULL, false FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'Loan', CAST(o_orderkey AS VARCHAR), NULL, true FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F'
+UNION ALL SELECT 'Person', CAST(p AS VARCHAR), NULL, true FROM (SELECT c_nationkey AS p FROM customer UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+UNION ALL SELECT DISTINCT 'Account', CAST(o_custkey AS VARCHAR), NULL, true FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def incremental_nodes(spark, sf_dir):
+    nodes, edges = (reduce(DataFrame.unionByName, x) for x in _incremental(spark, sf_dir))
+    new = workload.stubs(nodes, edges, nodes.where("false"))
+    every = nodes.withColumn("stub", F.lit(False)).unionByName(new.withColumn("stub", F.lit(True)))
+    return every.select("kind", "raw_id", F.col("properties")["accountType"].alias("account_type"), "stub")
+
+
+def _social_lines(spark, sf_dir):
+    customers, orders, events = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "events"))
+    person = customers.selectExpr("concat_ws('|', '7', '0', '1', c_custkey, c_mktsegment, c_name, 'male', '', '9', '', '', c_custkey % 75, '', '', concat(c_nationkey, ';-1;', 30 + c_nationkey), concat(c_nationkey, ',2001'), '') AS value")
+    post = orders.selectExpr("concat_ws('|', '8', '0', '6', o_orderkey, '', '5', '', '', '', o_comment_, length(o_orderpriority) * 10, o_custkey, o_orderkey % 50, '-1', o_orderkey % 25, '') AS value".replace("o_comment_", "o_orderpriority"))
+    rest = events.selectExpr("concat_ws('|', event_id, '0', 2 + event_id % 7, user_id, event_id % 100, 'day') AS value").where("split(value, '[|]')[2] in ('2', '3', '5', '8')")
+    return person.unionByName(post).unionByName(rest)
+
+
+@_register("""WITH e AS (SELECT CAST(event_id % 7 AS INTEGER) + 2 AS op, CAST(user_id AS VARCHAR) AS src, CAST(event_id % 100 AS VARCHAR) AS dst FROM events)
+SELECT CASE op WHEN 2 THEN 'likesPost' WHEN 3 THEN 'likesComment' WHEN 5 THEN 'hasMember' ELSE 'knows' END AS relation, src, dst, CASE WHEN op = 5 THEN 'day' END AS joined, CAST(NULL AS VARCHAR) AS detail FROM e WHERE op IN (2, 3, 5, 8)
+UNION ALL SELECT 'personLocation', CAST(c_custkey AS VARCHAR), CAST(c_custkey % 75 AS VARCHAR), NULL, NULL FROM customer
+UNION ALL SELECT 'hasInterest', CAST(c_custkey AS VARCHAR), CAST(t AS VARCHAR), NULL, CAST(1 + xor(CAST(c_custkey AS BIGINT), CAST(t AS BIGINT)) % 100 AS VARCHAR) FROM (SELECT c_custkey, unnest([c_nationkey, 30 + c_nationkey]) AS t FROM customer)
+UNION ALL SELECT 'studyAt', CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), NULL, '2001' FROM customer
+UNION ALL SELECT 'postCreator', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), NULL, NULL FROM orders
+UNION ALL SELECT 'postContainer', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey % 50 AS VARCHAR), NULL, NULL FROM orders
+UNION ALL SELECT 'postHasTag', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey % 25 AS VARCHAR), NULL, CASE WHEN length(o_orderpriority) < 4 THEN '0' WHEN length(o_orderpriority) < 8 THEN '1' WHEN length(o_orderpriority) < 16 THEN '2' ELSE '3' END FROM orders""")
+def social_update_edges(spark, sf_dir):
+    p = F.col("properties")
+    return workload.social_writes(_social_lines(spark, sf_dir))[1].select("relation", "src", "dst", p["joinDate"].alias("joined"), F.coalesce(p["edgeWeight"], p["classYear"], p["messageLengthBucket"]).alias("detail"))
+
+
+@_register("""SELECT 'Person' AS kind, CAST(c_custkey AS VARCHAR) AS raw_id, CAST(7 AS BIGINT) AS at, c_name AS name FROM customer
+UNION ALL SELECT 'Post', CAST(o_orderkey AS VARCHAR), 8, o_orderpriority FROM orders""")
+def social_update_nodes(spark, sf_dir):
+    p = F.col("properties")
+    return workload.social_writes(_social_lines(spark, sf_dir))[0].select("kind", "raw_id", "at", F.coalesce(p["lastName"], p["content"]).alias("name"))
+
+
+@_register("""SELECT e.event_id, o.o_orderpriority AS N0, o.o_orderkey AS seq FROM events e LEFT JOIN
+(SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) o ON o.o_custkey = e.user_id""")
+def single_node_reads(spark, sf_dir):
+    nodes = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS vid", "o_orderkey AS seq", "o_orderpriority AS N0")
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id AS vid")
+    return workload.node_reads(asked, nodes, "N0").select("event_id", "N0", "seq")
+
+
+@_register(_sql("SELECT src, dst, max(seq) AS seq FROM g1 JOIN (SELECT src, min(dst) AS dst FROM g1 GROUP BY src) USING (src, dst) GROUP BY src, dst", "versions", "g1"))
+def first_match(spark, sf_dir):
+    return workload.first_match(_groups(spark, sf_dir)["g1"])
+
+
 READS = [Access(frozenset(p), f) for p, f in (("ab", 900), ("bc", 40), ("d", 500), ("cd", 20))]
 WRITES = [Access(frozenset(p), f) for p, f in (("ab", 100_000), ("c", 500_000), ("cd", 30_000))]
 SIZES = {"a": 8, "b": 12, "c": 64, "d": 4}

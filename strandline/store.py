@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import fixed_width
+from strandline.functions.scalars import fixed_width, pipe_get
 from strandline.model import GraphError, GraphSchema, Status, load_schema
 from strandline.operators import versions
 from strandline.operators.versions import EDGE
@@ -90,6 +90,15 @@ class Graph:
         self._append(ids, "vertices")
         return ids
 
+    def init_vertices_up_to(self, n: int) -> DataFrame:
+        """The ids below ``n`` that were not there yet."""
+        if n > self.schema.max_vertex_num:
+            raise GraphError(Status.INVALID_ARGUMENT, "max_vertex_num is reached")
+        new = self.spark.range(n).select(F.col("id").alias("vid")).join(self._read("vertices", "vid long"), "vid", "left_anti")
+        new = materialise(new)
+        self._append(new, "vertices")
+        return new
+
     # ------------------------------------------------------------ writes
 
     def _cut(self, df: DataFrame, names: list[str]) -> list:
@@ -103,6 +112,20 @@ class Graph:
         rows = self.numbered(df.select("vid", *self._cut(df, self.schema.node.properties)), self.next_sequence())
         self._append(rows.select("vid", "seq", *self.schema.node.properties), self._table("nodes"))
 
+    def put_node_payload(self, df: DataFrame) -> None:
+        """New versions from (vid, payload), the properties in the order of the schema joined by ``|``; none may be empty."""
+        self.put_nodes(df.select("vid", *self._slots(df, self.schema.node.properties)))
+
+    def put_edge_payload(self, df: DataFrame, group: str) -> None:
+        """Records of one group from (src, dst, edge_type, payload; is_out and seq if given)."""
+        g = next(g for g in self.schema.groups if g.name == group)
+        self.put_edges(df.select(*(c for c in df.columns if c != "payload"), *self._slots(df, g.properties)))
+
+    def _slots(self, df: DataFrame, names: list[str]) -> list:
+        if not df.where("payload is null or payload = ''").isEmpty():
+            raise GraphError(Status.INVALID_ARGUMENT, "empty payload")
+        return [pipe_get("payload", i).alias(n) for i, n in enumerate(names)]
+
     def put_edges(self, df: DataFrame, bidirectional: bool = False) -> None:
         """New versions (src, dst, edge_type, properties; is_out defaults to true), a record in each group that has a column.
 
@@ -194,6 +217,15 @@ class Graph:
         rows = self.group(g).select(*EDGE, "seq", "deleted", F.col("_metadata.file_path").alias("file"))
         return versions.newest(rows.join(keys, EDGE, "left_semi")).select(*EDGE, "seq", "file")
 
+    def locate_nodes(self, ids: DataFrame) -> DataFrame:
+        """Which file holds each node's newest version, and its seq."""
+        rows = self.nodes.select("vid", "seq", F.col("_metadata.file_path").alias("file")).join(ids, "vid", "left_semi")
+        return rows.groupBy("vid").agg(F.max("seq").alias("seq"), F.max_by("file", "seq").alias("file"))
+
+    def flush_property_updates(self) -> int:
+        """The newest commit that every later read sees; a write returns only when its files are there, so nothing waits."""
+        return self.next_commit() - 1
+
     def update_stats(self) -> DataFrame:
         return self.updates.agg(F.count("*").alias("records"), F.countDistinct("commit_seq").alias("batches"), F.max("commit_seq").alias("last_commit"))
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalars as S
 from strandline.model import GraphError, Status, load_schema, parse_schema
-from strandline.operators import ingest
+from strandline.operators import ingest, workload
 from strandline.operators.traverse import all_shortest_paths, bounded_bfs, hop, shortest_distance
 from strandline.sources import files
+from strandline.sources.shared import materialise
 from strandline.store import Graph
 from strandline.streaming.replay import applied_once, replay
 
@@ -165,3 +166,53 @@ def test_replay_applies_each_batch_once(spark, tmp_path):
     replay(spark, str(tmp_path / "in"), schema, sink, str(tmp_path / "ck")).awaitTermination()
     replay(spark, str(tmp_path / "in"), schema, sink, str(tmp_path / "ck2")).awaitTermination()
     assert sorted(r for _, r in seen) == [0, 1, 2]
+
+
+def test_writes_reach_the_graph_by_their_raw_ids(spark, tmp_path):
+    schema = parse_schema("max_vertex_num: 99\nmax_property_length: 20\nedge_shards:\n  - name: hot\n    properties: [createTime, amount]\n  - name: cold\n    properties: [comment]\nnode_db:\n  name: n\n  properties: [rawId, isBlocked, loanAmount]\n")
+    g = Graph.open(spark, str(tmp_path / "w"), schema)
+    own = spark.createDataFrame([("p1", "a1", "2020-01-02 00:00:01", "true", "hi")], "personId string, accountId string, createTime string, accountBlocked string, comment string")
+    repay = spark.createDataFrame([("a1", "l1", "5", "9.5"), ("a2", "l9", "6", "1")], "account string, loanId string, createTime string, amount string")
+    loan = spark.createDataFrame([("p1", "l1", "4", "100")], "personId string, loanId string, createTime string, loanAmount string")
+    parts = [workload.financial_writes(own, 4), workload.financial_writes(loan, 6), workload.financial_writes(repay, 14)]
+    nodes, edges = (parts[0][i].unionByName(parts[1][i]).unionByName(parts[2][i]) for i in (0, 1))
+    new = workload.stubs(nodes, edges, nodes)
+    assert values(new, "kind", "raw_id", "at") == [("Account", "a2", 6), ("Loan", "l9", 6), ("Person", "p1", 4)]
+    nodes = nodes.unionByName(new.where("raw_id <> 'l9'"))
+    ids = materialise(workload.vertex_ids(nodes))
+    assert sorted(r["vid"] for r in ids.collect()) == [1, 2, 3, 4]
+    left = workload.import_writes(g, nodes, edges, ids, {n: v[0] for n, v in workload.FINANCIAL.items()})
+    assert values(left, "src", "dst") == [("a2", "l9")]
+    of = {r["raw_id"]: r["vid"] for r in ids.collect()}
+    got = {(r["src"], r["dst"], r["edge_type"]): (r["createTime"], r["amount"], r["comment"]) for r in g.scan_edges(["createTime", "amount", "comment"]).collect()}
+    assert got == {(of["p1"], of["a1"], 25): ("1577923201000", "", "hi"), (of["p1"], of["l1"], 19): ("4", "", ""), (of["a1"], of["l1"], 5): ("5", "9.5", "")}
+    assert {r["rawId"]: (r["isBlocked"], r["loanAmount"]) for r in g.get_nodes(["rawId", "isBlocked", "loanAmount"]).collect()} == {"p1": ("", ""), "a1": ("true", ""), "l1": ("", "100"), "a2": ("", "")}
+    added = workload.financial_writes(spark.createDataFrame([("c1", "x")], "companyId string, companyName string"), 2)
+    assert values(added[0], "kind", "raw_id") == [("Company", "c1")] and added[1].count() == 0
+
+
+def test_social_update_lines(spark):
+    wide = "|".join(["01", "202001", "3", "4", "5", "6", "7", "8", "9", "55", "2"])
+    lines = ["3|0|4|f1|Forum|d|p1|t1;t2|2", f"4|0|2|p1|m1|d|{wide}", "5|0|7|c1|d||||200|p1|-1|m1|-1|t3|", "6|0|1|", "x"]
+    nodes, edges = workload.social_writes(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert values(nodes, "kind", "raw_id", "at") == [("Comment", "c1", 5), ("Forum", "f1", 3)]
+    got = {(r["relation"], r["src"], r["dst"]): r["properties"] for r in edges.collect()}
+    assert set(got) == {("moderator", "f1", "p1"), ("forumHasTag", "f1", "t1"), ("forumHasTag", "f1", "t2"), ("likesPost", "p1", "m1"), ("commentCreator", "c1", "p1"), ("replyOfPost", "c1", "m1"), ("commentHasTag", "c1", "t3")}
+    assert got["likesPost", "p1", "m1"]["messageLengthBucket"] == "2" and got["likesPost", "p1", "m1"]["edgeWeight"] == "55"
+    assert got["replyOfPost", "c1", "m1"] == {"edgeExists": "1", "creationDate": "d", "messageLengthBucket": "3"}
+    assert got["forumHasTag", "f1", "t1"] == {"edgeExists": "1", "srcActivityBucket": "2"}
+
+
+def test_payloads_places_and_checksums(spark, graph):
+    graph.put_node_payload(spark.createDataFrame([(2, "bob|rome"), (3, "eve")], "vid long, payload string"))
+    assert values(graph.get_nodes(["N0", "N1"]), "vid", "N0", "N1") == [(1, "alice", "beijing"), (2, "bob", "rome"), (3, "eve", "")]
+    with pytest.raises(GraphError):
+        graph.put_node_payload(spark.createDataFrame([(2, "")], "vid long, payload string"))
+    graph.put_edge_payload(spark.createDataFrame([(4, 5, 7, "b|c", 90)], "src long, dst long, edge_type int, payload string, seq long"), "edge_Db1")
+    assert values(graph.get_edges(["B", "C"], keys(spark, (4, 5))), "B", "C") == [("b", "c")]
+    assert values(graph.locate_nodes(spark.createDataFrame([(2,), (7,)], "vid long")), "vid") == [(2,)]
+    assert graph.flush_property_updates() == 0
+    assert graph.init_vertices_up_to(3).count() == 3 and graph.init_vertices_up_to(5).count() == 2
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "y"), (1, "x")], "k int, v string")
+    assert workload.checksum(a).first() == workload.checksum(b).first()
+    assert workload.checksum(a.withColumn("n", F.col("k")), "n").first() != workload.checksum(a.withColumn("n", 3 - F.col("k")), "n").first()
