@@ -40,7 +40,7 @@ from strandline.llm.vectors import best_of_blocks, usable
 SAMPLE = 8192
 NEIGHBOURS = 10
 PARTS, LEAST_PART, GROUP = 256, 2 * NEIGHBOURS, 16
-RECALL = 0.92
+RECALL = 0.95
 HIDDEN, ROUNDS, BATCH, RATE = 64, 20, 512, 0.01
 BLOCK, QUERIES, AT_ONCE = 8192, 8192, 256
 MOST_TASKS = 50_000
