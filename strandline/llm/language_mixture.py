@@ -32,6 +32,7 @@ STEPS, REFITS = 8, 4
 PENALTY = 1.0
 SMOOTHING = 0.5
 BLOCK = 1 << 20
+EQUAL_CHANCES = -BITS * np.log(2)
 
 #: A-Z as a-z, other ASCII that is no letter as space.
 FOLD = np.full(256, 32, np.uint32)
@@ -113,12 +114,19 @@ def _fit(likely: np.ndarray, share: np.ndarray, rows: np.ndarray, first: np.ndar
 
 def mixtures(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The proportions of the chosen languages for every row; all 0 without letters."""
+    return fitted_mixtures(model, raw, offsets)[0]
+
+
+def fitted_mixtures(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The proportions, and the mean log-likelihood of a row's trigrams under them; minus infinity without letters."""
     code, words, rows = trigrams(raw, offsets)
     out = np.zeros((len(offsets) - 1, len(model.languages)))
+    mean = np.full(len(out), -np.inf)
     if not len(code) or not model.languages:
-        return out
+        return out, mean
     log = np.add.reduceat(model.table[code], words, axis=0, dtype=np.float64)
-    likely = np.exp(log - log.max(1, keepdims=True))
+    top = log.max(1)
+    likely = np.exp(log - top[:, None])
     begins = np.searchsorted(words, rows)
     full = np.flatnonzero(np.diff(begins))
     first = begins[:-1][full]
@@ -127,7 +135,7 @@ def mixtures(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start = np.full((len(full), len(model.languages)), 1 / len(model.languages))
     share, _ = _fit(likely, start, of, first, STEPS)
     rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
-    best, chosen = np.full(len(full), -np.inf), share
+    best, chosen, reached = np.full(len(full), -np.inf), share, np.full(len(full), -np.inf)
     for k in range(1, len(model.languages) + 1):
         part = np.where(rank < k, np.maximum(share, 1e-12), 0)
         part, fit = _fit(likely, part / part.sum(1, keepdims=True), of, first, REFITS if k > 1 else 0)
@@ -135,8 +143,10 @@ def mixtures(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         better = score > best
         best = np.where(better, score, best)
         chosen = np.where(better[:, None], part, chosen)
+        reached = np.where(better, fit, reached)
     out[full] = chosen
-    return out
+    mean[full] = (reached + np.add.reduceat(top, first)) / np.diff(rows)[full]
+    return out, mean
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +175,11 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), schema).withColumnRenamed("id", id_col)
 
 
-def identified(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a proportion of ``least`` or more."""
+def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the learned languages explain.
+
+    A row stays if its text has letters and its chosen languages, however many and in whatever shares, make
+    its trigrams likelier than equal chances for all of them do. Where no row has a language, none stays."""
     shared = spark.sparkContext.broadcast(learn(training_rows(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +187,8 @@ def identified(spark: SparkSession, docs: DataFrame, least: float = 0.4) -> Data
             raw, offsets = utf8(batch.column("text"))
             texts = strings(batch.column("text"))
             for a, b in row_blocks(offsets, BLOCK):
-                share = mixtures(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                _, mean = fitted_mixtures(shared.value, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 lettered = [any(map(str.isalpha, t)) for t in texts.slice(a, b - a).to_pylist()]
-                yield batch.slice(a, b - a).filter(pa.array((share.max(1, initial=0) >= least) & np.array(lettered, bool)))
+                yield batch.slice(a, b - a).filter(pa.array((mean > EQUAL_CHANCES) & np.array(lettered, bool)))
 
     return docs.mapInArrow(trimmed(run), docs.schema)

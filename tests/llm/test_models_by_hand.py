@@ -16,7 +16,7 @@ def packed(texts):
     return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
 
 
-def word_likelihoods(text, model):
+def word_likelihoods(text, model, scaled=True):
     """For each word, the product over its letters' trigrams in every language, as logs."""
     low = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()]
     out = []
@@ -28,7 +28,7 @@ def word_likelihoods(text, model):
         if before == 32:
             out.append([0.0] * len(model.languages))
         out[-1] = [x + float(t) for x, t in zip(out[-1], model.table[code])]
-    return [[math.exp(x - max(w)) for x in w] for w in out]
+    return [[math.exp(x - max(w)) for x in w] for w in out] if scaled else out
 
 
 def em(words, share, steps):
@@ -67,6 +67,21 @@ def test_mixtures_equal_those_by_hand():
         assert np.allclose(row, mixture_by_hand(text, model), atol=1e-9)
 
 
+def test_stage_keeps_balanced_mixtures_and_drops_what_no_language_explains(spark):
+    words = {"en": "the house was there before them", "fr": "une maison avec beaucoup de fenêtres", "de": "das haus steht schon lange über"}
+    rows = [(k * 10 + i, lang, " ".join([text] * 5)) for k, (lang, text) in enumerate(words.items()) for i in range(9)]
+    mixed = " ".join(words.values())
+    docs = spark.createDataFrame([*rows, (100, None, mixed), (101, None, "qxzj vkqw zzxq jjqv " * 9), (102, None, "12 34"), (103, None, None)], "doc_id long, lang string, text string")
+    kept = {r["doc_id"] for r in lm.identified(spark, docs).collect()}
+    assert kept == {r[0] for r in rows} | {100}
+    model = lm.learn(lm.training_rows(docs))
+    (share,), (mean,) = lm.fitted_mixtures(model, *packed([mixed]))
+    assert (share > 0.2).all()
+    logs = word_likelihoods(mixed, model, scaled=False)
+    assert np.isclose(mean, sum(math.log(sum(math.exp(x) * s for x, s in zip(w, share))) for w in logs) / sum(len(c.encode()) for c in mixed if c.isalpha()))
+    assert not lm.identified(spark, docs.limit(0)).count()
+
+
 def features_by_hand(text):
     """Of each passage: roots of the shares of classes, log length, repeats, mean word length, different words."""
     data, out = text.encode(), []
