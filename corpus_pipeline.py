@@ -18,7 +18,7 @@ from strandline.llm.registry import WORD_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; text without letters, or without a leading language, goes."""
+    """Documents that the learned languages explain, one or several; text without letters, or like none of them, goes."""
     return language_mixture.identified(spark, docs)
 
 
