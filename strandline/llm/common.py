@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.sources import shared
 from strandline.sources.shared import Scratch
 
-__all__ = ["Scratch", "is_held_out", "materialise", "row_blocks", "strings", "table", "trimmed", "utf8"]
+__all__ = ["Scratch", "bounded_batches", "is_held_out", "materialise", "row_blocks", "strings", "table", "trimmed", "utf8"]
+
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +58,26 @@ def row_blocks(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A map over batches that gives freed memory back at its end, as Python workers live on between tasks."""
+#: Caches whose values outlive the tasks of this worker.
+_kept: list[Callable] = []
+
+
+def _keep_only(cache: Callable | None) -> None:
+    """Empty the caches that former tasks of this worker left, but for ``cache``."""
+    for other in _kept:
+        if other is not cache:
+            other.cache_clear()
+    _kept[:] = [] if cache is None else [cache]
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives freed memory back at its end, as Python workers live on between tasks.
+
+    What ``cache``, an lru_cache, holds stays for the worker's next tasks of this kind; a task of another kind drops it."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(cache)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -69,6 +86,13 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let this session send ``BATCH_ROWS`` rows at most to Python at once, as JVM and worker both hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def is_held_out(doc_ids: list[int | None]) -> list[bool]:
     """crc32 of the decimal doc_id, modulo 4, is 2; a null id is not held out."""
     return [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in doc_ids]

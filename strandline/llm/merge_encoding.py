@@ -269,7 +269,7 @@ def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, schema: str,
                 ids = [begin + i + end for i in codec.ids(chunks)]
                 yield pa.record_batch([keys.slice(a, b - a), *(pa.array(v, kinds[t]) for v, t in zip(of(codec, ids, chunks), types))], ["id", *names])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id long, {schema}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run, codec_of), f"id long, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

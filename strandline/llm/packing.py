@@ -265,7 +265,7 @@ def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tier
                 yield from rows(packer.block(docs))
         yield from rows(packer.end())
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id long, {COLUMNS}, {extra}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run, chunk_ids), f"id long, {COLUMNS}, {extra}").withColumnRenamed("id", id_col)
 
 
 def pack(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:

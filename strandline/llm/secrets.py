@@ -213,7 +213,7 @@ RULES = BASE_RULES + MORE_RULES
 Span = tuple[int, int, int]  # start, the rule's place in the list, end
 
 
-def spans_of_batch(texts: pa.Array, rules: list[Rule], tables: tuple[np.ndarray, np.ndarray], block: int = 1 << 21) -> list[list[Span]]:
+def spans_of_batch(texts: pa.Array, rules: list[Rule], tables: tuple[np.ndarray, np.ndarray], block: int = 1 << 20) -> list[list[Span]]:
     """The spans of every row, in code points, by start and then by rule."""
     raw, offsets = utf8(texts)
     out: list[list[Span]] = [[] for _ in range(len(texts))]

@@ -150,4 +150,4 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n = [x for a, b in row_blocks(offsets, 1 << 21) for x in counter.texts(texts.slice(a, b - a).to_pylist())]
             yield pa.record_batch([batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run, counter_of), "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
