@@ -13,32 +13,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import jaccard_join, language_mixture, packing, passage_quality, secrets
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, bounded_batches, table
 from strandline.llm.registry import WORD_MODEL
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned languages explain, one or several; text without letters, or like none of them, goes."""
+    bounded_batches(spark)
     return language_mixture.identified(spark, docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones; all, where labels give it nothing to learn from."""
+    bounded_batches(spark)
     return passage_quality.good_documents(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    bounded_batches(spark)
     return jaccard_join.keep_first(spark, docs, n=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their text replaced."""
+    bounded_batches(spark)
     return secrets.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    bounded_batches(spark)
     return packing.pack_digests(docs, WORD_MODEL, end=2)
 
 
