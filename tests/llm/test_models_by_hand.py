@@ -123,3 +123,16 @@ def test_attention_scores_equal_those_by_hand():
     assert np.allclose(x, [row for t in texts for row in features_by_hand(t)], atol=1e-6)
     model = pq.fit(x.astype(float), first[:-1], np.array([float(k % 2) for k in range(len(texts))]))
     assert np.allclose(model.scores(x, first), [score_by_hand(model, t) for t in texts], atol=1e-5)
+
+
+def test_a_worker_drops_the_memos_of_other_tasks():
+    from functools import lru_cache
+
+    from strandline.llm.common import trimmed
+
+    made = lru_cache(1)(lambda: object())
+    with_memo, without = trimmed(lambda batches: iter([made()]), made), trimmed(lambda batches: iter([]))
+    first, *_ = with_memo(iter([]))
+    assert [*with_memo(iter([]))] == [first]
+    assert not [*without(iter([]))]
+    assert [*with_memo(iter([]))] != [first]
