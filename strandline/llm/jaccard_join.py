@@ -13,12 +13,14 @@ lists, and those of shingles that the sketch counts as ``HOT``, go through round
 leader, and only pairs of the leader with a class of another component are made, so a group of n near
 copies makes n pairs, not n^2; lists within one component leave. What is open after the last round is
 decided pair by pair: classes of different components whose sizes fit are dealt into tiles by size, and
-pairs of tiles are compared in one piece, with the same filters and then on whole sets. A profile counts a
+pairs of tiles are compared in one piece, on profiles alone. Where few pairs of a piece are left, as among texts
+that share no more than a phrase, each goes once, whatever the number of its lists, to the texts; only the
+entries of a piece with many are dealt again with their whole sets. A profile counts a
 set's shingles in each of ``CELLS`` cells modulo 256, so the differences add up to no more than the shingles
 not shared. What is left apart has been shown to be apart, so the components are those of all links.
 
 Tables between the steps lie in the shared folder and go once their last reader is done. The texts of
-candidates are read again and meet once for each pair.
+candidates are read again and meet once for each pair, no more texts at a time than the table has.
 
 Defined results: null text, empty text and text without words have an empty set, which is linked
 with nothing; repeated rows are in one class and each has its row; a null doc_id has a row, and a
@@ -49,6 +51,7 @@ ROUNDS = 1
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 20
 SHORT, TILE, TILE_SHINGLES, CELLS = 32, 1024, 1 << 20, 64
+DENSE = 16  # pairs of a piece for each of its entries, from which whole sets are compared there
 FAN = 64  # pairs of one class that are verified in one piece
 SEEN = 100_000  # classes that a task remembers, to index a copy once
 SIZE_BYTES, KEY_BYTES = 3, 16
@@ -275,20 +278,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield held
 
 
-def tile_links(lists: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components c of one shingle's entries: for each tile those of a forest.
+PIECE = ["shingle", "i_cell", "i_sub", "j_cell", "j_sub"]
+
+
+def _pieces(lists: DataFrame, percent: int, *columns: str) -> DataFrame:
+    """Pairs of tiles of (shingle, class, c, leader, ``columns``), named by ``PIECE``; ``left`` tells which of the two an entry is of.
 
-    ``lists`` has (shingle, class, c, leader, profile, set). A list of more than ``TILE`` entries or
-    ``TILE_SHINGLES`` shingles is dealt into bands of size, in which neighbours alone can fit, and these by side,
-    the leader's component or another, into tiles. Each pair of tiles is compared by itself, but never two of
-    the leader's component, so what a few classes need to be told apart from many costs few tiles."""
+    A list of more than ``TILE`` entries or ``TILE_SHINGLES`` shingles, if it has sets, is dealt into bands of size, in
+    which neighbours alone can fit, and these by side, the leader's component or another, into tiles. Each pair of
+    tiles is compared by itself, but never two of the leader's component, so what a few classes need to be told
+    apart from many costs few tiles."""
     most = TILE, TILE_SHINGLES
     width = float(np.log(100 / percent)) * 1.000001  # sizes that just fit stay neighbours
     band = F.floor(F.log(_size("class").cast("double")) / width).cast("int")
     sided = lists.withColumn("band", band).withColumn("side", (F.col("c") == F.col("leader.c")).cast("int"))
     sided = sided.withColumn("cell", F.col("band") * 2 + F.col("side"))
     tiles = F.greatest(F.ceil(F.col("n") / most[0]), F.ceil(F.col("shingles") / most[1])).cast("int")
-    counts = sided.groupBy("shingle", "cell").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") / 8).alias("shingles"))
+    shingles = F.sum(F.octet_length("set") / 8) if "set" in columns else F.lit(0.0)
+    counts = sided.groupBy("shingle", "cell").agg(F.count("*").alias("n"), shingles.alias("shingles"))
     counts = counts.groupBy("shingle").agg(F.sum("n").alias("rows"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("cell", tiles.alias("tiles")))).alias("tiles"))
     dealt, many = sided.join(counts, "shingle"), (F.col("rows") > most[0]) | (F.col("shingles") > most[1])
     place = lambda cell, sub: F.struct(cell.alias("cell"), sub.alias("sub"))
@@ -306,20 +313,80 @@ def tile_links(lists: DataFrame, percent: int) -> DataFrame:
     others = F.concat(*(beside(step, side) for step in (-1, 0, 1) for side in (0, 1)))
     dealt = dealt.withColumn("other", F.explode(F.when(many, others).otherwise(F.array(alone))))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    keys = ["shingle", "i_cell", "i_sub", "j_cell", "j_sub"]
-    dealt = dealt.select("shingle", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("cell", "sub")), (F.col("own") <= F.col("other")).alias("left"), "class", "c", "profile", "set")
+    dealt = dealt.select("shingle", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "ij" for y in ("cell", "sub")), (F.col("own") <= F.col("other")).alias("left"), "class", "c", *columns)
+    return dealt.repartition(*PIECE).sortWithinPartitions(*PIECE)
+
+
+def _left(run: pa.Table) -> np.ndarray | None:
+    """Which entries of a piece are of its first tile; nothing if it is compared with itself."""
+    same = all(run.column(f"i_{x}")[0] == run.column(f"j_{x}")[0] for x in ("cell", "sub"))
+    return None if same else run.column("left").combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _facing(bound: np.ndarray, left: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each entry of a piece with those it meets whose sizes fit; of an entry and itself, or two that met, nothing."""
+    x, y = (np.arange(len(bound)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    y = y[np.argsort(bound[y], kind="stable")]
+    x = y if left is None else x
+    low = np.searchsorted(bound[y], -(-percent * bound[x] // 100))
+    high = np.searchsorted(bound[y], 100 * bound[x] // percent, "right")
+    if left is None:
+        low = np.maximum(low, np.arange(1, len(x) + 1))
+    return ((i, y[a:b]) for i, a, b in zip(x.tolist(), low.tolist(), high.tolist()) if a < b)
+
+
+def _numbers(c: np.ndarray) -> np.ndarray:
+    return np.unique(c, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def near_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(shingle, a, b) from (shingle, class, c, leader, profile): the pairs of different components whose sizes and
+    profiles allow the similarity, shingle null, and b null for the entries a that have such a pair in a piece with
+    more than ``DENSE`` times as many pairs as entries."""
+    dense = DENSE
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, PIECE):
+            name, profile = (_raw(run.column(k).combine_chunks(), width) for k, width in (("class", KEY_BYTES), ("profile", CELLS)))
+            c, bound, left = _numbers(_raw(run.column("c").combine_chunks(), KEY_BYTES)), _sizes(name), _left(run)
+            met, a, b, n = np.zeros(len(name), bool), [], [], 0
+            for i, near in _facing(bound, left, percent):
+                near = near[c[near] != c[i]]
+                near = near[_apart(profile[near], profile[i]) <= most_different(bound[near], bound[i], percent)]
+                if not len(near):
+                    continue
+                met[i] = met[near] = True
+                if (n := n + len(near)) <= dense * len(name):
+                    a.append(np.full(len(near), i))
+                    b.append(near)
+            if n > dense * len(name):
+                at = np.flatnonzero(met)
+                yield _found(pa.array(np.full(len(at), run.column("shingle")[0].as_py())), _names(name[at]), pa.nulls(len(at), pa.binary()))
+            elif n:
+                x, y = np.concatenate(a), np.concatenate(b)
+                swap = bound[x] > bound[y]  # the smaller set first; of equal sizes the smaller name
+                swap |= (bound[x] == bound[y]) & np.array([name[i].tobytes() > name[j].tobytes() for i, j in zip(x.tolist(), y.tolist())])
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                yield _found(pa.nulls(n, pa.int64()), _names(name[x]), _names(name[y]))
+
+    return _pieces(lists, percent, "profile").mapInArrow(trimmed(compare), "shingle long, a binary, b binary")
+
+
+def tile_links(lists: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components c of one shingle's entries: for each piece those of a forest.
+
+    ``lists`` has (shingle, class, c, leader, profile, set)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, keys):
+        for run in runs(batches, PIECE):
             one = lambda c: run.column(c).combine_chunks()  # noqa: B023, E731
-            same = all(run.column(f"i_{x}")[0] == run.column(f"j_{x}")[0] for x in ("cell", "sub"))
             name, sets = _raw(one("class"), KEY_BYTES), [np.frombuffer(x, np.uint64) for x in one("set").to_pylist()]
-            found = Tile(name, _raw(one("c"), KEY_BYTES), _raw(one("profile"), CELLS), sets, percent).forest(None if same else one("left").to_numpy(zero_copy_only=False))
+            found = Tile(name, _raw(one("c"), KEY_BYTES), _raw(one("profile"), CELLS), sets, percent).forest(_left(run))
             if found:
                 a, b = zip(*found)
                 yield pa.record_batch([_names(name[list(a)]), _names(name[list(b)])], ["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(compare), "a binary, b binary")
+    return _pieces(lists, percent, "profile", "set").mapInArrow(trimmed(compare), "a binary, b binary")
 
 
 class Tile:
@@ -328,7 +395,7 @@ class Tile:
     def __init__(self, name: np.ndarray, c: np.ndarray, profile: np.ndarray, sets: list[np.ndarray], percent: int) -> None:
         self.profile, self.percent = profile, percent
         self.bound, self.size = _sizes(name), np.array(list(map(len, sets)))
-        self.c = np.unique(c, axis=0, return_inverse=True)[1].reshape(-1)
+        self.c = _numbers(c)
         flat = np.concatenate(sets)
         self.values, dense = np.unique(flat, return_inverse=True)
         ends = np.cumsum(self.size)
@@ -342,16 +409,8 @@ class Tile:
     def forest(self, left: np.ndarray | None) -> list[tuple[int, int]]:
         """Links between components, each of which joins two that were apart, of all rows or of the left with the other ones."""
         bound, percent = self.bound, self.percent
-        x, y = (np.arange(len(bound)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
-        y = y[np.argsort(bound[y], kind="stable")]
-        x = y if left is None else x
-        low = np.searchsorted(bound[y], -(-percent * bound[x] // 100))
-        high = np.searchsorted(bound[y], 100 * bound[x] // percent, "right")
-        if left is None:
-            low = np.maximum(low, np.arange(1, len(x) + 1))
         mark, found = np.zeros(len(self.values), bool), []
-        for k, i in enumerate(x.tolist()):
-            near = y[low[k] : high[k]]
+        for i, near in _facing(bound, left, percent):
             near = near[self.c[near] != self.c[i]]
             near = near[_apart(self.profile[near], self.profile[i]) <= most_different(bound[near], bound[i], percent)]
             for prefix in self.prefixes:
@@ -394,6 +453,7 @@ class Join:
         write = self.scratch.write
         signed = write(signatures(self.spark, self.docs, self.n, self.percent))
         rows = write(signed.select("doc_id", "key", "n", "class"))
+        self.rows = rows.count()
         self.own = signed.where("profile is not null")
         found = write(list_pairs(self.own.select("class", F.explode("cold").alias("shingle")), self.percent))
         hot = self.own.select(F.explode("hot").alias("shingle"), "class").distinct()
@@ -407,7 +467,7 @@ class Join:
                 if opened is None:
                     break
                 if k > rounds:
-                    links = links.unionByName(write(tile_links(self._with_sets(opened), self.percent)))
+                    links = links.unionByName(self._apart_or_linked(opened, tried))
                     break
                 pairs = write(self._leader_pairs(opened).distinct().join(tried, ["a", "b"], "left_anti"))
             mine = self._verified(self._candidates(pairs))
@@ -446,6 +506,20 @@ class Join:
         pairs = opened.where("c <> leader.c").select(a.alias("a"), b.alias("b"))
         return pairs.where(100 * _size("a") >= self.percent * _size("b"))
 
+    def _apart_or_linked(self, opened: DataFrame, tried: DataFrame) -> DataFrame:
+        """The links that remain among the entries of open lists."""
+        write = self.scratch.write
+        wanted = opened.select("class").distinct()
+        profiles = self._of_classes(wanted, opened.count(), "profile")
+        near = write(near_pairs(opened.join(profiles, "class"), self.percent))
+        pairs = write(near.where("shingle is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        dense = write(near.where("shingle is not null").select("shingle", F.col("a").alias("class")).distinct())
+        self.scratch.drop(near)
+        links = self._verified(pairs)
+        if dense.isEmpty():
+            return links
+        return links.unionByName(write(tile_links(self._with_sets(write(opened.join(dense, ["shingle", "class"]))), self.percent)))
+
     def _with_sets(self, opened: DataFrame) -> DataFrame:
         wanted = self.scratch.write(opened.select("class").distinct())
         rows, n = wanted.count(), self.n
@@ -496,7 +570,7 @@ class Join:
                 new = [not (k in seen or seen.add(k)) for k in keys]
                 yield batch if all(new) else batch.filter(pa.array(new))
 
-        return texts.mapInArrow(once, texts.schema)
+        return texts.mapInArrow(trimmed(once), texts.schema)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share prefix shingles in both further orders and whose whole sets have the similarity.
@@ -507,6 +581,8 @@ class Join:
         of_b = pairs.join(fan, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
         of_a = fan.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         asked = self.scratch.write(of_a.unionByName(of_b))
+        parts = max(1, -(-asked.count() // max(1, self.rows)))  # each moves as many texts as there are rows, about
+
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, own, of_own, prefixes = WordHashes(), None, None, []
             for batch in batches:
@@ -524,8 +600,12 @@ class Join:
                         keep.append(100 * both >= percent * (len(own) + len(s) - both))
                 yield pa.record_batch([batch.column("a"), batch.column("class")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        met = self._texts(asked, ["a", "piece", "class"], 2 * rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
-        out = self.scratch.write(met.select("a", "class", "text").mapInArrow(trimmed(check), "a binary, b binary"))
+        out = None
+        for part in range(parts):
+            mine = asked.where(F.pmod(F.xxhash64("a", "piece"), F.lit(parts)) == part) if parts > 1 else asked
+            met = self._texts(mine, ["a", "piece", "class"], 2 * rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
+            links = self.scratch.write(met.select("a", "class", "text").mapInArrow(trimmed(check), "a binary, b binary"))
+            out = links if out is None else out.unionByName(links)
         self.scratch.drop(asked)
         return out
 

@@ -284,3 +284,34 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF).toPandas()
     assert set(pieces.doc_id) == set(seen.doc_id)
     assert docs.where(F.col("text").rlike("AKIA[A-Z0-9]{16,}")).count() == 0
+
+
+def strangers():
+    """Texts that share one rare phrase and, but for a pair of near copies, nothing else."""
+    rng = random.Random(5)
+    rows = [[f"a{k}b{rng.randrange(10**6)}" for _ in range(60)] for k in range(90)]
+    rows[41] = [*rows[40][:-1], "other"]
+    return [" ".join([*w, "one", "common", "phrase"]) for w in rows]
+
+
+def test_texts_that_share_a_phrase_are_told_apart_without_their_sets(spark, monkeypatch):
+    """Whole sets went to every list of their shingles, so disk grew much faster than the table."""
+    monkeypatch.setattr(jaccard_join, "HOT", 0)  # all lists are read in rounds, as long ones are
+
+    def none(self, opened):
+        raise AssertionError(f"{opened.count()} whole sets")
+
+    monkeypatch.setattr(jaccard_join.Join, "_with_sets", none)
+    rows = list(enumerate(strangers()))
+    got = jaccard_join.link_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == list(zip(range(90), *components_by_hand(rows, 3, 90)))
+
+
+@pytest.mark.parametrize("dense", [0, 1])
+def test_pieces_of_many_pairs_equal_brute_force(spark, monkeypatch, dense):
+    for name, v in (("DENSE", dense), ("SHORT", 2), ("TILE", 8)):
+        monkeypatch.setattr(jaccard_join, name, v)
+    rows = [(3 * k + 1, t) for k, t in enumerate(near_copies(9) + strangers())]
+    got = jaccard_join.link_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    sizes, comps = components_by_hand(rows, 3, 90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((k, s, c) for (k, _), s, c in zip(rows, sizes, comps))
