@@ -35,16 +35,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return _written(spark, df, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}")
 
 
+#: Spark drops a query's shuffle files at its end, not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Written tables of one computation; each can be deleted once its last reader has been written itself."""
+    """Written tables of one computation; each can be deleted once its last reader has been written itself.
+
+    The shuffle files of a table go as soon as it is written."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex[:8]}"
-        self.tables.append((out := _written(self.spark, df, path), path))
+        path, before = f"{self.root}/{uuid.uuid4().hex[:8]}", self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            self.tables.append((out := _written(self.spark, df, path), path))
+        finally:
+            self.spark.conf.set(CLEAN, before)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from strandline.llm import binary_search, components, jaccard_join, language_mixture, learned_partitions, passage_quality, shingles
-from strandline.llm.common import materialise
+from strandline.llm.common import Scratch, materialise
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text2 string"
@@ -315,3 +315,11 @@ def test_pieces_of_many_pairs_equal_brute_force(spark, monkeypatch, dense):
     got = jaccard_join.link_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     sizes, comps = components_by_hand(rows, 3, 90)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((k, s, c) for (k, _), s, c in zip(rows, sizes, comps))
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    scratch, names = Scratch(spark), lambda: {f.getName() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = names()
+    assert scratch.write(spark.range(1000).repartition(3, "id")).count() == 1000
+    assert names() <= before
