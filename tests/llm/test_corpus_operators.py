@@ -1,6 +1,7 @@
 """Joins, searches, models and the pipeline against brute force or held-out rows."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -321,5 +322,8 @@ def test_shuffle_files_go_once_a_table_is_written(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     scratch, names = Scratch(spark), lambda: {f.getName() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
     before = names()
-    assert scratch.write(spark.range(1000).repartition(3, "id")).count() == 1000
-    assert names() <= before
+    table = scratch.write(spark.range(1000).repartition(3, "id"))
+    end = time.time() + 10  # executors drop them a moment later
+    while not names() <= before and time.time() < end:
+        time.sleep(0.1)
+    assert names() <= before and table.count() == 1000
