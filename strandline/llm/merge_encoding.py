@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 MARK = "▁"
-MEMO_BYTES = 40 << 20  # of remembered chunks, about, in one worker
+MEMO_BYTES = 100 << 20  # of remembered chunks, about, in one worker
 ENTRY = 220  # bytes of an entry besides its characters
 PAIRS = 400_000  # remembered pairs of tokens, of about 100 bytes each
 CLOSING = ".,;:!?*#$%&|"
