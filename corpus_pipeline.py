@@ -16,6 +16,8 @@ from strandline.llm import jaccard_join, language_mixture, packing, passage_qual
 from strandline.llm.common import Scratch, bounded_batches, table
 from strandline.llm.registry import WORD_MODEL
 
+MEMO_BYTES = 16 << 20  #: That a worker remembers while it packs; the stages before it have left the executors little room.
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned languages explain, one or several; text without letters, or like none of them, goes."""
@@ -44,7 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     bounded_batches(spark)
-    return packing.pack_digests(docs, WORD_MODEL, end=2)
+    return packing.pack_digests(docs, WORD_MODEL, end=2, memo=MEMO_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -16,7 +16,7 @@ from strandline.sources.shared import Scratch
 
 __all__ = ["Scratch", "bounded_batches", "is_held_out", "materialise", "row_blocks", "strings", "table", "trimmed", "utf8"]
 
-BATCH_ROWS = 2_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,10 +87,12 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let this session send ``BATCH_ROWS`` rows at most to Python at once, as JVM and worker both hold whole batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Let this session send ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at most to Python at once, as JVM and worker both hold whole batches."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        known = (spark.conf.get(name) or "").lower().removesuffix("b")
+        if not (known.isdigit() and 0 < int(known) <= most):
+            spark.conf.set(name, most)
 
 
 def is_held_out(doc_ids: list[int | None]) -> list[bool]:

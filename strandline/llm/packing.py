@@ -69,6 +69,12 @@ class ChunkIds:
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.held = 0
+        self.most: int | None = None  # ``MEMO_BYTES`` if unset
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.parts.clear()
+        self.held = 0
 
     def _part(self, part: str) -> bytes:
         if (out := self.parts.get(part)) is None:
@@ -92,10 +98,8 @@ class ChunkIds:
                 memo[chunk] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
         self.held += ENTRY * len(new) + sum(map(len, new)) + sum(len(memo[c]) for c in new)
-        if self.held > MEMO_BYTES:
-            memo.clear()
-            self.parts.clear()
-            self.held = 0
+        if self.held > (MEMO_BYTES if self.most is None else self.most):
+            self.forget()
         return out
 
     def whole(self, text: str) -> bytes:
@@ -238,12 +242,13 @@ class Numbering:
 COLUMNS = "start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
-def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tiers: tuple[int, ...], step_tokens: int, extra: str, of: Callable[[bytes], object]) -> DataFrame:
+def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tiers: tuple[int, ...], step_tokens: int, extra: str, of: Callable[[bytes], object], memo: int | None) -> DataFrame:
     name, kind = extra.split()
     kinds = {"long": pa.int64(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = chunk_ids(path), TierPacker(tiers)
+        encoder.most = memo
         numbers = Numbering(TaskContext.get().partitionId(), step_tokens)
 
         def rows(windows: Iterator[tuple[int, list[Piece]]]) -> Iterator[pa.RecordBatch]:
@@ -264,15 +269,19 @@ def _packed(df: DataFrame, path: str, end: int, id_col: str, text_col: str, tier
                 docs = [Piece(k, 0, len(i) // 4, len(i) // 4, i) for k, i in zip(keys[at:], ids)]
                 yield from rows(packer.block(docs))
         yield from rows(packer.end())
+        if memo is not None:
+            encoder.forget()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run, chunk_ids), f"id long, {COLUMNS}, {extra}").withColumnRenamed("id", id_col)
 
 
-def pack(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """A row per piece, with its ids as little-endian unsigned 32-bit integers in ``ids``."""
-    return _packed(df, path, end, id_col, text_col, tiers, step_tokens, "ids binary", bytes)
+def pack(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, memo: int | None = None) -> DataFrame:
+    """A row per piece, with its ids as little-endian unsigned 32-bit integers in ``ids``.
+
+    ``memo`` bounds the bytes that a worker remembers, in place of ``MEMO_BYTES``, and then they go with the task."""
+    return _packed(df, path, end, id_col, text_col, tiers, step_tokens, "ids binary", bytes, memo)
 
 
-def pack_digests(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack_digests(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, memo: int | None = None) -> DataFrame:
     """As ``pack``, with the crc32 of each piece's ids in place of them."""
-    return _packed(df, path, end, id_col, text_col, tiers, step_tokens, "ids_crc32 long", zlib.crc32)
+    return _packed(df, path, end, id_col, text_col, tiers, step_tokens, "ids_crc32 long", zlib.crc32, memo)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import public_tokenizers
 
 import corpus_pipeline
-from strandline.llm import packing, passage_quality, token_counts, urls
+from strandline.llm import common, packing, passage_quality, token_counts, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +76,23 @@ def test_empty_tables_give_empty_results(spark):
     none = spark.createDataFrame([], DOCS)
     assert token_counts.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert packing.batch_ids(packing.chunk_ids(public_tokenizers.path("word_bpe_49k.json")), pa.array([], pa.string()), 2) is not None
+
+
+def test_batches_are_bounded_in_bytes_and_smaller_bounds_stay(spark):
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    try:
+        common.bounded_batches(spark)
+        assert [spark.conf.get(x) for x in names] == [str(common.BATCH_ROWS), str(common.BATCH_BYTES)]
+        spark.conf.set(names[1], 1000)
+        common.bounded_batches(spark)
+        assert spark.conf.get(names[1]) == "1000"
+    finally:
+        for x in names:
+            spark.conf.unset(x)
+
+
+def test_packing_with_a_small_memo_gives_the_same_pieces(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i % 7}" for i in range(400)), "de", "s", 1) for k in range(30)], DOCS).coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [sorted(map(tuple, packing.pack_digests(docs, path, end=2, **memo).collect())) for memo in ({}, {"memo": 100})]
+    assert rows[0] == rows[1] and len(rows[0]) >= 30
