@@ -38,7 +38,7 @@ from strandline.llm.common import row_blocks, strings, trimmed, utf8
 
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 32768
-MEMO_BYTES = 40 << 20  # of remembered chunks and parts, about, in one worker
+MEMO_BYTES = 100 << 20  # of remembered chunks and parts, about, in one worker
 ENTRY = 220  # bytes of an entry besides its characters
 
 # ---------------------------------------------------------------- ids
