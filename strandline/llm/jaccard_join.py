@@ -17,10 +17,12 @@ pairs of tiles are compared in one piece, on profiles alone. Where few pairs of
 that share no more than a phrase, each goes once, whatever the number of its lists, to the texts; only the
 entries of a piece with many are dealt again with their whole sets. A profile counts a
 set's shingles in each of ``CELLS`` cells modulo 256, so the differences add up to no more than the shingles
-not shared. What is left apart has been shown to be apart, so the components are those of all links.
+not shared. So few cells tell large sets apart from nothing; these have a fine profile too, whose cells grow with
+the set, and pairs of them are compared on it before their texts move. What is left apart has been shown to be apart, so the components are those of all links.
 
-Tables between the steps lie in the shared folder and go once their last reader is done. The texts of
-candidates are read again and meet once for each pair, no more texts at a time than the table has.
+Tables between the steps lie in the shared folder and go once their last reader is done. The index is dealt
+out in ``LIST_PARTS`` parts by shingle, one after the other. The texts of candidates are read again and meet once
+for each pair, about 1 / ``TEXT_PARTS`` of the table's length at a time.
 
 Defined results: null text, empty text and text without words have an empty set, which is linked
 with nothing; repeated rows are in one class and each has its row; a null doc_id has a row, and a
@@ -30,6 +32,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -51,6 +54,9 @@ ROUNDS = 1
 BROADCAST_ROWS = 1_000_000
 BLOCK = 1 << 20
 SHORT, TILE, TILE_SHINGLES, CELLS = 32, 1024, 1 << 20, 64
+FINE, FINE_CELLS = 4, 1 << 14  # a large set's second profile has a cell for FINE to 2 * FINE shingles, but no more cells than these
+LIST_PARTS = 4  # the index is dealt out in so many parts, one after the other
+TEXT_PARTS = 4  # texts move to be verified as long as they are 1 / TEXT_PARTS of the table's, about
 DENSE = 16  # pairs of a piece for each of its entries, from which whole sets are compared there
 FAN = 64  # pairs of one class that are verified in one piece
 SEEN = 100_000  # classes that a task remembers, to index a copy once
@@ -123,7 +129,7 @@ def prefix_length(size: int, percent: int) -> int:
 def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """A row per document: doc_id, key (a hash of the text), size n and the class.
 
-    The first row of a class in a task also has its profile and its prefix in the first order, split by ``HOT``."""
+    The first row of a class in a task also has its profiles and its prefix in the first order, split by ``HOT``."""
     levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,30 +141,42 @@ def signatures(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> Da
                 flat = np.concatenate(sets)
                 rare = level[_counter(flat)]
                 first = (rare.astype(np.uint64) << np.uint64(60)) | (mix(flat ^ SEEDS[1]) >> np.uint64(4))
-                cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (mix(flat ^ SEEDS[0]) % np.uint64(CELLS)).astype(np.int64)
+                place = mix(flat ^ SEEDS[0])
+                cell = np.repeat(np.arange(len(sets)), sizes) * CELLS + (place % np.uint64(CELLS)).astype(np.int64)
                 profiles = np.bincount(cell, minlength=len(sets) * CELLS).astype(np.uint8).reshape(-1, CELLS)
                 own: list = []
+                fine: list = []
                 cold, hot = [], []
                 stop = 0
                 for i, (name, size) in enumerate(zip(raw, sizes)):
                     start, stop = stop, stop + size
                     if not size or name in seen:
                         own.append(None)
+                        fine.append(None)
                         for out in (cold, hot):
                             out.append(flat[:0])
                         continue
                     if len(seen) < SEEN:
                         seen.add(name)
                     own.append(profiles[i].tobytes())
+                    fine.append(fine_profile(place[start:stop]))
                     p = prefix_length(size, percent)
                     at1 = start + np.argpartition(first[start:stop], p - 1)[:p]
                     often = rare[at1] >= HOT
                     cold.append(flat[at1[~often]])
                     hot.append(flat[at1[often]])
                 keys = [batch.column(c).slice(at, len(sets)) for c in ("doc_id", "key")]
-                yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), _lists(cold), _lists(hot)], ["doc_id", "key", "n", "class", "profile", "cold", "hot"])
+                yield pa.record_batch([*keys, pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), pa.array(own, pa.binary()), pa.array(fine, pa.binary()), _lists(cold), _lists(hot)], ["doc_id", "key", "n", "class", "profile", "fine", "cold", "hot"])
 
-    return docs.mapInArrow(trimmed(sign), "doc_id long, key long, n long, class binary, profile binary, cold array<long>, hot array<long>")
+    return docs.mapInArrow(trimmed(sign), "doc_id long, key long, n long, class binary, profile binary, fine binary, cold array<long>, hot array<long>")
+
+
+def fine_profile(place: np.ndarray) -> bytes | None:
+    """The counts modulo 256 of a set's shingles in cells as many as its size asks for, a power of two; None where ``CELLS`` are enough."""
+    cells = min(FINE_CELLS, 1 << (len(place) // FINE).bit_length() - 1) if len(place) >= FINE else 0
+    if cells <= CELLS:
+        return None
+    return np.bincount((place % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.uint8).tobytes()
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -258,6 +276,12 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(d, -d).sum(-1, dtype=np.int64)
 
 
+def _apart_finely(x: bytes, y: bytes) -> int:
+    """The same from two fine profiles; the cells of the longer one are added up to those of the other."""
+    p, q = (np.frombuffer(z, np.uint8).reshape(-1, min(len(x), len(y))).sum(0, dtype=np.uint8) for z in (x, y))
+    return int(_apart(p, q))
+
+
 def _size(name: str) -> Column:
     return F.conv(F.hex(F.substring(name, 1, SIZE_BYTES)), 16, 10).cast("long")
 
@@ -453,13 +477,16 @@ class Join:
         write = self.scratch.write
         signed = write(signatures(self.spark, self.docs, self.n, self.percent))
         rows = write(signed.select("doc_id", "key", "n", "class"))
-        self.rows = rows.count()
-        self.own = signed.where("profile is not null")
-        found = write(list_pairs(self.own.select("class", F.explode("cold").alias("shingle")), self.percent))
-        hot = self.own.select(F.explode("hot").alias("shingle"), "class").distinct()
+        self.shingles = rows.agg(F.sum("n")).first()[0] or 0
+        first = signed.where("profile is not null")
+        postings = first.select("class", F.explode("cold").alias("shingle"))
+        lists = [write(list_pairs(postings.where(F.pmod("shingle", F.lit(LIST_PARTS)) == part), self.percent)) for part in range(LIST_PARTS)]
+        found = functools.reduce(DataFrame.unionByName, lists)
+        hot = first.select(F.explode("hot").alias("shingle"), "class").distinct()
         opened = write(found.where("shingle is not null").select("shingle", F.col("a").alias("class")).unionByName(hot))
         pairs = write(found.where("shingle is null").select("a", "b").distinct())
-        self.scratch.drop(found)
+        self.own = write(first.select("doc_id", "key", "class", "profile", "fine"))
+        self.scratch.drop(signed, *lists)  # the index has no other readers
         links = tried = None
         for k in range(rounds + 2):  # short lists, rounds of leaders, tiles
             if k:
@@ -548,6 +575,24 @@ class Join:
 
         return self.scratch.write(self._with(pairs, "profile").mapInArrow(trimmed(compare), "a binary, b binary"))
 
+    def _finely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose fine profiles, if both have one, allow the similarity too."""
+        percent = self.percent
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                most = most_different(*(_sizes(_raw(batch.column(c), KEY_BYTES)) for c in "ab"), percent).tolist()
+                fine = zip(*(batch.column(f"fine_{c}").to_pylist() for c in "ab"))
+                keep = [x is None or y is None or _apart_finely(x, y) <= z for (x, y), z in zip(fine, most)]
+                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        small = _size("a") < 2 * CELLS * FINE  # a has the smaller set
+        large = self.scratch.write(pairs.where(~small))
+        near = self._with(large, "fine").mapInArrow(trimmed(compare), "a binary, b binary")
+        out = self.scratch.write(pairs.where(small).unionByName(near))
+        self.scratch.drop(large)
+        return out
+
     def _with(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """The pairs with the columns of both classes."""
         n = pairs.count()
@@ -576,12 +621,13 @@ class Join:
         """The pairs that share prefix shingles in both further orders and whose whole sets have the similarity.
 
         Texts are read again, as prefixes of all documents would take more room than the texts of few. Up to ``FAN`` pairs of one a meet in one piece: its text comes first, then those of the b."""
-        n, percent, rows = self.n, self.percent, pairs.count()
+        n, percent, pairs = self.n, self.percent, self._finely(pairs)
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("pieces"))
         of_b = pairs.join(fan, "a").select(F.col("b").alias("class"), "a", F.pmod(F.xxhash64("b"), "pieces").cast("int").alias("piece"))
         of_a = fan.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
         asked = self.scratch.write(of_a.unionByName(of_b))
-        parts = max(1, -(-asked.count() // max(1, self.rows)))  # each moves as many texts as there are rows, about
+        rows, shingles = asked.agg(F.count("*"), F.sum(_size("class"))).first()
+        parts = max(1, -(-TEXT_PARTS * (shingles or 0) // max(1, self.shingles)))  # by length: what meets is often long
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, own, of_own, prefixes = WordHashes(), None, None, []
@@ -603,7 +649,7 @@ class Join:
         out = None
         for part in range(parts):
             mine = asked.where(F.pmod(F.xxhash64("a", "piece"), F.lit(parts)) == part) if parts > 1 else asked
-            met = self._texts(mine, ["a", "piece", "class"], 2 * rows).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
+            met = self._texts(mine, ["a", "piece", "class"], -(-rows // parts)).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("class") != F.col("a"), "class")
             links = self.scratch.write(met.select("a", "class", "text").mapInArrow(trimmed(check), "a binary, b binary"))
             out = links if out is None else out.unionByName(links)
         self.scratch.drop(asked)

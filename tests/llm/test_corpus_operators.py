@@ -318,6 +318,66 @@ def test_pieces_of_many_pairs_equal_brute_force(spark, monkeypatch, dense):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((k, s, c) for (k, _), s, c in zip(rows, sizes, comps))
 
 
+def test_large_sets_are_told_apart_without_their_texts(spark, monkeypatch):
+    """Any two sets of some thousand shingles passed the profiles, and the texts of such pairs took more disk than the table."""
+    rng, blocks, asked = random.Random(3), {}, set()
+    for i in range(11):
+        for j in range(i):  # each block of words is in two texts
+            blocks[i, j] = blocks[j, i] = [f"w{rng.randrange(10**6)}" for _ in range(250)]
+    rows = [" ".join(w for j in range(11) if j != i for w in blocks[i, j]) for i in range(11)]
+    rows = list(enumerate([*rows, rows[0] + " other"]))
+    texts = jaccard_join.Join._texts
+
+    def noted(self, wanted, *more):
+        asked.update(bytes(r["class"]) for r in wanted.select("class").collect())
+        return texts(self, wanted, *more)
+
+    monkeypatch.setattr(jaccard_join.Join, "_texts", noted)
+    got = jaccard_join.link_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == list(zip(range(12), *components_by_hand(rows, 5, 80)))
+    assert len(asked) == 2
+
+
+def test_fine_profiles_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for size, more in ((512, 700), (5000, 40), (20_000, 300), (70_000, 5)):
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        y = np.concatenate([x[more // 3 :], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+        p, q = jaccard_join.fine_profile(x), jaccard_join.fine_profile(y)
+        assert 0 < jaccard_join._apart_finely(p, q) == jaccard_join._apart_finely(q, p) <= more // 3 + more
+        assert len(p) <= jaccard_join.FINE_CELLS
+    assert jaccard_join.fine_profile(x[:511]) is None
+
+
+def test_index_and_texts_move_in_parts(spark, monkeypatch):
+    """All of the index moved at once, and texts were counted, however long those of the pairs were."""
+    rng, index, moved = random.Random(6), [], []
+    long = [f"w{k}" for k in range(3000)]
+    rows = [f"{k} " + " ".join(f"s{rng.randrange(10**6)}" for _ in range(10)) for k in range(300)]
+    for k in range(12):
+        w = list(long)
+        w[rng.randrange(3000)] = f"other{k}"
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    lists, texts = jaccard_join.list_pairs, jaccard_join.Join._texts
+
+    def listed(postings, percent):
+        index.append(postings.count())
+        return lists(postings, percent)
+
+    def noted(self, asked, columns, *more):
+        if "piece" in columns:
+            moved.append(asked.count())
+        return texts(self, asked, columns, *more)
+
+    monkeypatch.setattr(jaccard_join, "list_pairs", listed)
+    monkeypatch.setattr(jaccard_join.Join, "_texts", noted)
+    got = jaccard_join.link_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == list(zip(range(312), *components_by_hand(rows, 5, 80)))
+    assert max(index) < 0.4 * sum(index)
+    assert max(moved) < 0.5 * sum(moved)
+
+
 def test_shuffle_files_go_once_a_table_is_written(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     scratch, names = Scratch(spark), lambda: {f.getName() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
